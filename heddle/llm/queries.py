@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
+from . import licenses as _licenses
+from . import packing as _packing
 from . import toxicity as _toxicity
 
 
@@ -29,13 +32,61 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", _toxicity.held_out("doc_id").alias("held_out"), "got.score", (F.col("got.score") >= _toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in each document."""
+    rows = _licenses.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text")).toDF("doc_id", "text", "got")
+    return rows.select("doc_id", *[f"got.{c}" for c in ("n_words", "n_base", "first_word", "last_word")], *[F.array_join(f"got.{c}", ",").alias(c) for c in ("base_labels", "labels")], "got.score")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' token ids in sequences of at most 4,096."""
+    import public_tokenizers
+
+    pieces = _packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op5_toxicity": op5_toxicity,
+    "op8_licenses": op8_licenses,
+    "op10_packing": op10_packing,
 }
 
 _LOWER_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _template_pattern(template: str) -> str:
+    """A template as a regular expression over words that each have a space before them, and one after the last."""
+
+    def wording(text: str) -> str:
+        return "".join(f" {w.decode()}" for w in _licenses.tokens(text))
+
+    out = ""
+    for text, optional, most in re.findall(r"((?:(?!\[\[|\{\{).)+)|\[\[(.*?)\]\]|\{\{(\d+)\}\}", template, re.S):
+        out += wording(text) if text else f"(?:{_template_pattern(optional)[:-1]})?" if optional else f"(?: [^ ]+){{1,{most}}}"
+    return out + " "
+
+
+def _license_sql() -> str:
+    places = " UNION ALL ".join(f"SELECT {i} AS p, '{phrase}' AS phrase, '{label}' AS label" for i, (phrase, label) in enumerate(_licenses.PHRASES.items()))
+    full = ", ".join(f"CASE WHEN regexp_matches(t, '{_template_pattern(t)}') THEN '{label}' END" for label, t in _licenses.TEMPLATES)
+    return rf"""
+        WITH d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+        e AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS t FROM d),
+        f AS (SELECT doc_id, w, list_filter([{full}], lambda x: x IS NOT NULL) AS whole FROM e),
+        p AS ({places}),
+        k AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d WHERE len(w) > 0),
+        b AS (SELECT doc_id, k - 1 AS k, label FROM k JOIN p ON array_to_string(w[k : k + len(string_split(phrase, ' ')) - 1], ' ') = phrase),
+        g AS (SELECT doc_id, count(*) AS n, min(k) AS a, max(k) AS z, list(DISTINCT label) AS plain FROM b GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word,
+               CAST(z AS BIGINT) AS last_word, array_to_string(list_sort(coalesce(plain, [])), ',') AS base_labels,
+               array_to_string(list_sort(list_distinct(list_concat(coalesce(plain, []), whole))), ',') AS labels,
+               CAST(CASE WHEN len(whole) > 0 THEN 1 WHEN n > 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS score
+        FROM f LEFT JOIN g USING (doc_id)"""
+
+
 ORACLE: dict[str, str] = {
     "op2_decontaminate": rf"""
         WITH d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
@@ -52,4 +103,5 @@ ORACLE: dict[str, str] = {
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+    "op8_licenses": _license_sql(),
 }

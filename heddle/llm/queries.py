@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import credentials as _credentials
 from . import decontaminate as _decontaminate
 from . import licenses as _licenses
 from . import line_rules as _line_rules
@@ -27,6 +28,20 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named.cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in each document, by pattern and by who else holds them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    rows, found = _credentials.scanned(docs, repository=F.concat_ws("/", "source", "lang"), keep_text=False)
+    spans = F.col(f"{found}.spans")
+    base = F.filter(spans, lambda s: s.kind < _credentials.BASE)
+
+    def count(kind: int) -> F.Column:
+        return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long").alias(f"n_{_credentials.KINDS[kind]}")
+
+    live = F.size(F.filter(spans, lambda s: ~F.array_contains(F.col(f"{found}.examples"), s.h))).cast("long")
+    return rows.select("doc_id", *[count(kind) for kind in range(_credentials.BASE)], F.sha2(_credentials.listed(base).cast("binary"), 256).alias("base_sha256"), _credentials.listed(spans).alias("spans"), live.alias("n_live"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy-or scores of all documents, by a model of sentences learned from two thirds of the labels."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,6 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op4_secrets": op4_secrets,
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_line_rules": op7_line_rules,
@@ -84,6 +100,31 @@ def _template_pattern(template: str) -> str:
     return out + " "
 
 
+def _secret_sql() -> str:
+    c = _credentials
+    assign = c.ASSIGN.replace("'", "''")
+    sets = ((assign, 2, 8), ("AKIA[A-Z0-9]+", 0, 16), ("[0-9a-f]+", 0, 32), ("[A-Za-z0-9_]+", 0, 24))
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, source, lang, {kind} AS kind, {least} AS least, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {g}) AS s, string_split_regex(text, '{p}') AS p FROM d"
+        for kind, (p, g, least) in enumerate(sets)
+    )
+    name = f"(['{"', '".join(c.KINDS)}'])[kind + 1]"
+    return rf"""
+        WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),
+        m AS ({found}),
+        u AS (SELECT *, unnest(list_filter(range(1, len(m) + 1), lambda i: length(s[i]) >= least)) AS i FROM m),
+        x AS (SELECT doc_id, source, lang, kind, s[i] AS s, length(m[i]) AS n,
+                     list_sum(list_transform(p[1 : i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda z: length(z))), 0) AS a FROM u),
+        g AS (SELECT *, a + n AS b FROM x WHERE kind < 3 OR (regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Z]') AND regexp_matches(s, '[a-z]'))),
+        e AS (SELECT s FROM g GROUP BY s HAVING count(DISTINCT source) >= {c.EXAMPLE_OWNERS} OR count(DISTINCT concat_ws('/', source, lang)) >= {c.EXAMPLE_REPOSITORIES}),
+        k AS (SELECT g.*, e.s IS NOT NULL AS copied, {name} || ':' || a || ':' || b AS span FROM g LEFT JOIN e USING (s) WHERE kind < 3 OR e.s IS NULL),
+        r AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, count(*) FILTER (NOT copied) AS n_live,
+                     string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY a, kind) AS spans FROM k GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+               coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+        FROM d LEFT JOIN r USING (doc_id)"""
+
+
 def _license_sql() -> str:
     places = " UNION ALL ".join(f"SELECT {i} AS p, '{phrase}' AS phrase, '{label}' AS label" for i, (phrase, label) in enumerate(_licenses.PHRASES.items()))
     full = ", ".join(f"CASE WHEN regexp_matches(t, '{_template_pattern(t)}') THEN '{label}' END" for label, t in _licenses.TEMPLATES)
@@ -140,4 +181,5 @@ ORACLE: dict[str, str] = {
               FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
         f AS (SELECT *, n_words < {_line_rules.LEAST_WORDS} OR 100 * n_repeat_words > {int(100 * _line_rules.MOST_REPEATED)} * n_words AS base_failed FROM m)
         SELECT *, NOT base_failed AND n_frequent_words <= {_line_rules.DEPLETED} * n_words AS kept FROM f""",
+    "op4_secrets": _secret_sql(),
 }

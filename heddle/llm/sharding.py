@@ -12,7 +12,7 @@ No task sorts more than a range. To the driver come a sample and the ranges'
 splitters, both bounded by ``MOST_RANGES``; a table of the ranges is broadcast.
 Texts are read once, and only keys and sizes are shuffled.
 
-Law ``bytes``: shards' sizes differ by no more than a record and a kept group. A
+Law ``bytes``: a shard's ends are off by no more than half a record or half a kept group. A
 group of equal texts stays in one shard unless it is larger than ``TOLERANCE`` of
 a shard; larger groups are cut where a shard is full.
 
@@ -120,8 +120,9 @@ def placed(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     at = ranged.join(F.broadcast(ranges), ["part", "sub"])
     at = at.withColumns({"before": F.col("bytes_before") + F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "place": F.col("rows_before") + F.row_number().over(own) - 1})
     at = at.withColumns({"group_start": F.min("before").over(group), "group_bytes": F.sum("size").over(group)})
-    start = F.when(F.col("group_bytes") <= TOLERANCE * total / n_shards, F.col("group_start")).otherwise(F.col("before"))
-    shard = F.least(F.lit(n_shards - 1), F.floor(start.cast("double") * n_shards / max(total, 1))).cast("int")
+    # the shard in which the middle of the record, or of its group, lies
+    middle = F.when(F.col("group_bytes") <= TOLERANCE * total / n_shards, F.col("group_start") + F.col("group_bytes") / 2).otherwise(F.col("before") + F.col("size") / 2)
+    shard = F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / max(total, 1))).cast("int")
     at = written(at.select("doc_id", "size", "text_crc32", "key", "place", shard.alias("shard")), "sharding-places")
     first = at.groupBy("shard").agg(F.min("place").alias("first"))
     return at.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "key", "shard", (F.col("place") - F.col("first")).alias("slot"))

@@ -12,6 +12,7 @@ from . import credentials as _credentials
 from . import decontaminate as _decontaminate
 from . import licenses as _licenses
 from . import line_rules as _line_rules
+from . import near_dups as _near_dups
 from . import packing as _packing
 from . import sharding as _sharding
 from . import toxicity as _toxicity
@@ -28,6 +29,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named.cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and numbers of links of documents that share four fifths of their five-grams."""
+    return _near_dups.joined(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in each document, by pattern and by who else holds them."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
@@ -76,6 +82,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_near_dups": op3_near_dups,
     "op4_secrets": op4_secrets,
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
@@ -182,4 +189,17 @@ ORACLE: dict[str, str] = {
         f AS (SELECT *, n_words < {_line_rules.LEAST_WORDS} OR 100 * n_repeat_words > {int(100 * _line_rules.MOST_REPEATED)} * n_words AS base_failed FROM m)
         SELECT *, NOT base_failed AND n_frequent_words <= {_line_rules.DEPLETED} * n_words AS kept FROM f""",
     "op4_secrets": _secret_sql(),
+    "op3_near_dups": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+        k AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM d WHERE len(w) > 0),
+        g AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g FROM k),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+        reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        groups AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a),
+        counts AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a),
+        copies AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS copy_id FROM d WHERE len(w) > 0)
+        SELECT d.doc_id, least(d.doc_id, coalesce(least, d.doc_id)) AS class_id, coalesce(copy_id, d.doc_id) AS copy_id, coalesce(n, 0) AS n_links
+        FROM d LEFT JOIN groups USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN copies USING (doc_id)""",
 }

@@ -15,6 +15,7 @@ from . import line_rules as _line_rules
 from . import near_dups as _near_dups
 from . import packing as _packing
 from . import sharding as _sharding
+from . import substrings as _substrings
 from . import toxicity as _toxicity
 
 
@@ -72,6 +73,11 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[f"got.{c}" for c in ("n_words", "n_base", "first_word", "last_word")], *[F.array_join(f"got.{c}", ",").alias(c) for c in ("base_labels", "labels")], "got.score")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of passages that documents of lesser ids hold."""
+    return _substrings.repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' token ids in sequences of at most 4,096."""
     import public_tokenizers
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_line_rules": op7_line_rules,
     "op8_licenses": op8_licenses,
+    "op9_substrings": op9_substrings,
     "op10_packing": op10_packing,
 }
 
@@ -202,4 +209,16 @@ ORACLE: dict[str, str] = {
         copies AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS copy_id FROM d WHERE len(w) > 0)
         SELECT d.doc_id, least(d.doc_id, coalesce(least, d.doc_id)) AS class_id, coalesce(copy_id, d.doc_id) AS copy_id, coalesce(n, 0) AS n_links
         FROM d LEFT JOIN groups USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN copies USING (doc_id)""",
+    "op9_substrings": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        k AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS k, w FROM d WHERE len(w) >= 13),
+        g AS (SELECT doc_id, k, array_to_string(w[k : k + 12], ' ') AS g FROM k),
+        least AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS j FROM g JOIN least USING (g) WHERE least < doc_id),
+        n AS (SELECT doc_id, list(j) AS j FROM gone GROUP BY doc_id),
+        e AS (SELECT d.doc_id, w, coalesce(j, []) AS j FROM d LEFT JOIN n USING (doc_id)),
+        u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+        kept AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM u LEFT JOIN gone ON gone.doc_id = u.doc_id AND gone.j = u.i WHERE gone.j IS NULL GROUP BY u.doc_id)
+        SELECT e.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(j) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM e LEFT JOIN kept USING (doc_id)""",
 }

@@ -24,3 +24,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of tables that nothing refers to any more; call it once the next table is written."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

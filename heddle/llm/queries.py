@@ -15,6 +15,7 @@ from . import line_rules as _line_rules
 from . import near_dups as _near_dups
 from . import packing as _packing
 from . import sharding as _sharding
+from . import site_quality as _site_quality
 from . import substrings as _substrings
 from . import toxicity as _toxicity
 
@@ -23,6 +24,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by their text and their site; a source is a host, and a language a path in it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    model = _site_quality.trained(docs, _table(spark, sf_dir, "labels"))
+    rows = _site_quality.scored(docs, model, F.col("source"), F.col("lang"))
+    return rows.select("doc_id", _toxicity.held_out("doc_id").alias("held_out"), "evidence", "host_posterior", "path_posterior", "score", "predicted", (F.col("predicted") == 1).alias("kept"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of benchmark passages in each document, by suffix arrays."""
     found = _decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -87,6 +96,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
     "op3_near_dups": op3_near_dups,
     "op4_secrets": op4_secrets,

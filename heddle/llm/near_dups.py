@@ -34,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from . import textcore as X
-from .store import written
+from .store import let_go, written
 
 GRAM, THRESHOLD = 5, 0.8
 #: The chance that a pair right at the threshold is a candidate, and the hashes that may be spent.
@@ -121,13 +122,25 @@ def _signer(bands: int, rows: int):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(sent):
+    """The sets of the documents that may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted.may_hold(X.mix(batch.column(1).to_numpy().view(np.uint64)))))
+            for a, b, texts in X.slices(batch.column(2)):
+                w = X.words(texts, X.LOWER_WORDS, lower=True)
+                g, first = grams(w, X.hashes(w))
+                sets = [np.unique(g[first[i] : first[i + 1]]).tobytes() for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sets, pa.binary())], names=["doc_id", "text_key", "set"])
+
+    return run
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, texts in X.slices(batch.column(1)):
-            w = X.words(texts, X.LOWER_WORDS, lower=True)
-            g, first = grams(w, X.hashes(w))
-            sets = [np.unique(g[first[i] : first[i + 1]]).tobytes() for i in range(b - a)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["class", "set"])
+        yield pa.RecordBatch.from_arrays([pa.array(X.mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], names=["h"])
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -272,6 +285,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     documents of a similarity of ``threshold`` or more), and ``first`` (whether it is the group's one to keep; repeated
     documents are so together, and then ``same`` is over 1).
     """
+    spark = docs.sparkSession
     bands, rows = banding(threshold, recall)
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
@@ -281,27 +295,34 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     classes = signed.where("grams > 0").groupBy("one", "two").agg(least.alias("rep"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
-    held = classes.select("class", "grams", "bands", F.posexplode("bands").alias("band", "bucket"))
+    # what is joined from here on grows with the corpus, and so is merged and never broadcast
+    held = classes.select("class", "grams", F.posexplode("bands").alias("band", "bucket"))
     shared = written(held.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("grams").alias("weight")).where("n > 1"), "buckets")
-    held = held.join(shared, "bucket")
+    live = written(held.select("class", "band", "bucket").join(shared.hint("merge"), "bucket"), "live")
+    let_go(spark)
     even = [(F.min(F.get("bands", F.lit(k))) == F.max(F.get("bands", F.lit(k)))).alias(f"e{k}") for k in range(bands)]
-    alike = held.groupBy("bucket", "band", "n", "weight").agg(*even)
+    alike = live.join(classes.select("class", "bands").hint("merge"), "class").groupBy("bucket", "band", "n", "weight").agg(*even)
     # a bucket counts unless all its classes share an earlier band
     earlier = F.array(*[F.col(f"e{k}") for k in range(bands)])
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("weight") / BLOCK_GRAMS)).cast("int")
     own = alike.where(~F.exists(F.slice(earlier, F.lit(1), F.col("band")), lambda x: x)).select("bucket", blocks.alias("blocks"))
-    cells = held.select("class", "band", "bucket").join(own, "bucket").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    cells = live.select("class", "band", "bucket").join(own.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     cells = written(cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("class", "bucket", "band", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")), "cells")
 
-    wanted = cells.select("class").distinct().join(classes.select("class", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key")), "class")
-    wanted = written(wanted.select("class", F.col("doc_id").alias("d"), F.col("text_key").alias("k")), "wanted")
-    texts = keyed.join(wanted, (keyed.text_key == wanted.k) & keyed.doc_id.eqNullSafe(wanted.d)).select("class", "text")
-    sets = texts.mapInArrow(_sets, "class long, set binary").groupBy("class").agg(F.first("set").alias("set"))
-    sets = written(sets.join(classes.select("class", "copies", "bands"), "class"), "sets")
-    pairs = cells.join(sets, "class").select("bucket", "lo", "hi", "band", "block", "class", "copies", "bands", "set")
+    wanted = cells.select("class").distinct().join(classes.select("class", "copies", "bands", "rep").hint("merge"), "class")
+    wanted = written(wanted.select("class", "copies", "bands", F.col("rep.doc_id").alias("d"), F.col("rep.text_key").alias("k")), "wanted")
+    let_go(spark)
+    sent = spark.sparkContext.broadcast(bloom.of(wanted.select("k").mapInArrow(_hashes, "h long"), "h"))
+    sets = keyed.mapInArrow(_sets(sent), f"doc_id {kind}, text_key long, set binary")
+    sets = sets.join(wanted.hint("merge"), (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    # repeated documents give the same set again
+    sets = written(sets.select("class", "copies", "bands", "set").dropDuplicates(["class"]), "sets")
+    let_go(spark)
+    pairs = cells.join(sets.hint("merge"), "class").select("bucket", "lo", "hi", "band", "block", "class", "copies", "bands", "set")
     pairs = pairs.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     links = written(pairs.mapInArrow(_verifier(threshold), "class long, links long, root long"), "links")
 
+    let_go(spark)
     groups = components(links.select(F.col("class").alias("u"), F.col("root").alias("v")))
     counted = links.groupBy("class").agg(F.sum("links").alias("links"))
     all_ = classes.join(counted, "class", "left").join(groups.withColumnRenamed("node", "class"), "class", "left")

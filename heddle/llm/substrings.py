@@ -38,21 +38,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from . import textcore as X
 from .store import let_go, written
 
 WINDOW, ANCHOR = 13, 5
 #: Anchors that are entered window by window, at most, and how often each is at least.
 MOST_HOT, LEAST_HOT = 50_000, 2_000
-#: Bits of the filter for each recurring anchor, and its size as powers of two.
-BITS_EACH, LEAST_BITS, MOST_BITS = 16, 20, 30
 #: Words of the phrases of an automaton.
 AUTOMATON_WORDS = 600_000
 #: Anchors that a task sums before it hands them on.
 SUMMED = 1_500_000
 _NEVER = np.iinfo(np.int64).max
 _U = np.uint64
-_RANGES = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_2 = np.uint64(0xC2B2AE3D27D4EB4F | 1)
 
@@ -127,51 +125,6 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _bits(power: int):
-    """Recurring anchors of one range of hashes as that range's part of the filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            h = batch.column(0).to_numpy().view(_U)
-            for r in np.unique(h >> _U(64 - _RANGES)).tolist():
-                part = parts.setdefault(r, np.zeros(1 << (power - _RANGES), bool))
-                for at in _probes(h[h >> _U(64 - _RANGES) == r], power):
-                    part[at & ((1 << (power - _RANGES)) - 1)] = True
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in parts.values()], pa.binary())], names=["part", "bits"])
-
-    return run
-
-
-def _probes(h: np.ndarray, power: int) -> Iterator[np.ndarray]:
-    """Where a filter of 2^power bits tells of each hash; all places are in the hash's range."""
-    with np.errstate(over="ignore"):
-        top = (h >> _U(64 - _RANGES)) << _U(power - _RANGES)
-        for k in (1, 2, 3):
-            yield (top | (X.mix(h * _U(2 * k + 1)) >> _U(64 - power + _RANGES))).astype(np.int64)
-
-
-def may_hold(bits: np.ndarray, power: int, h: np.ndarray) -> np.ndarray:
-    out = np.ones(len(h), bool)
-    for at in _probes(h, power):
-        out &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-    return out
-
-
-def _filter(recurring: DataFrame) -> tuple[bytes, int]:
-    """The Bloom filter of the recurring anchors; its size is bounded whatever their number."""
-    n = recurring.count()
-    power = min(max(LEAST_BITS, (BITS_EACH * max(n, 1) - 1).bit_length()), MOST_BITS)
-    bits = np.zeros(1 << (power - 3), np.uint8)
-    each = 1 << (power - 3 - _RANGES)
-    parts = recurring.select("h", F.shiftrightunsigned("h", 64 - _RANGES).alias("range")).repartition("range").select("h")
-    for row in parts.mapInArrow(_bits(power), "part int, bits binary").collect():
-        part = bits[row.part * each : (row.part + 1) * each]
-        part |= np.frombuffer(row.bits, np.uint8)
-    return bits.tobytes(), power
-
-
 # ---- 2: occurrences and phrases
 
 _FOUND = "kind byte, row long, doc long, key long, seg long, pos int, lo long, hi long, n_words long, sha string, text binary"
@@ -194,8 +147,7 @@ def _raw(w: X.Words, start: np.ndarray, size: np.ndarray) -> pa.Array:
 
 def _finder(sent, texts_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, power, hot = sent.value
-        bits = np.frombuffer(raw, np.uint8)
+        seen, hot = sent.value
         for batch in batches:
             rows = batch.column(0).to_numpy()
             null = np.asarray(batch.column(1).is_null())
@@ -205,7 +157,7 @@ def _finder(sent, texts_too: bool):
                 h = X.hashes(w)
                 key, start, n = segments(w, h)
                 owner = a + w.owners()
-                good = may_hold(bits, power, key) & ~null[owner[start]] if len(key) else np.zeros(0, bool)
+                good = seen.may_hold(key) & ~null[owner[start]] if len(key) else np.zeros(0, bool)
                 key, start, n = key[good], start[good], n[good]
                 one, two = Rolling(h, _BASE), Rolling(h, _BASE_2)
                 if len(hot) and len(key):
@@ -409,7 +361,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     let_go(spark)
     hot = recurring.where(F.col("n") >= LEAST_HOT).orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()
     hot_keys = np.sort(np.array([r.h for r in hot], np.int64).view(_U))
-    sent = spark.sparkContext.broadcast((*_filter(recurring), hot_keys))
+    sent = spark.sparkContext.broadcast((bloom.of(recurring, "h"), hot_keys))
 
     found = written(docs.mapInArrow(_finder(sent, keep_text), _FOUND), "segments")
     let_go(spark)

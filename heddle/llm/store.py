@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-KEY = "spark.checkpoint.dir"
+from heddle.sources.shared import shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; where it names none, as in tests on one machine, a new one."""
-    named = spark.conf.get(KEY, None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='heddle-')}"
-        spark.conf.set(KEY, named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder. A lost executor costs none of it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["let_go", "shared_dir", "written"]
 
 
 def let_go(spark: SparkSession) -> None:
     """Have Spark remove the shuffle files of tables that nothing refers to any more; call it once the next table is written."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -127,8 +127,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ---- 2: occurrences and phrases
 
-_FOUND = "kind byte, row long, doc long, key long, seg long, pos int, lo long, hi long, n_words long, sha string, text binary"
-_NAMES = ["kind", "row", "doc", "key", "seg", "pos", "lo", "hi", "n_words", "sha", "text"]
+_FOUND = "kind byte, doc long, row long, key long, seg long, pos int, lo long, hi long, n_words long, sha string, text binary"
+_NAMES = ["kind", "doc", "row", "key", "seg", "pos", "lo", "hi", "n_words", "sha", "text"]
 _KINDS = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
 
@@ -145,22 +145,26 @@ def _raw(w: X.Words, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(w.data[at])])
 
 
-def _finder(sent, texts_too: bool):
+def _finder(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, hot = sent.value
         for batch in batches:
-            rows = batch.column(0).to_numpy()
-            null = np.asarray(batch.column(1).is_null())
-            ids = batch.column(1).fill_null(0).to_numpy()
+            null = np.asarray(batch.column(0).is_null())
+            ids, rows = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
             for a, b, texts in X.slices(batch.column(2)):
                 w = X.words(texts, X.SPACED_WORDS)
                 h = X.hashes(w)
+                raw = texts.data.tobytes()
+                shas = [hashlib.sha256(b" ".join(raw[x:y].split())).hexdigest() for x, y in zip(texts.offs.tolist(), texts.offs[1:].tolist(), strict=False)]
+                yield _batch(b - a, kind=pa.array(np.zeros(b - a, np.int8)), doc=batch.column(0).slice(a, b - a), row=pa.array(rows[a:b]), n_words=pa.array(w.counts), sha=pa.array(shas))
                 key, start, n = segments(w, h)
                 owner = a + w.owners()
                 good = seen.may_hold(key) & ~null[owner[start]] if len(key) else np.zeros(0, bool)
                 key, start, n = key[good], start[good], n[good]
+                if not len(key):
+                    continue
                 one, two = Rolling(h, _BASE), Rolling(h, _BASE_2)
-                if len(hot) and len(key):
+                if len(hot):
                     # window by window
                     at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
                     is_hot = hot[at] == key
@@ -170,15 +174,7 @@ def _finder(sent, texts_too: bool):
                     n = np.concatenate([n[~is_hot], np.ones(len(first), np.int64)])
                 seg = two.of(start, n + WINDOW - 1)
                 doc = owner[start]
-                with_some = np.zeros(b - a, bool)
-                with_some[doc - a] = True
-                joined = [X.joined(w, i) for i in range(b - a)]
-                shas = pa.array([hashlib.sha256(x).hexdigest() for x in joined])
-                sent_texts = pa.array([joined[i] if texts_too or with_some[i] else None for i in range(b - a)], pa.binary())
-                yield _batch(b - a, kind=pa.array(np.zeros(b - a, np.int8)), row=pa.array(rows[a:b]), doc=batch.column(1).slice(a, b - a), n_words=pa.array(w.counts), sha=shas, text=sent_texts)
-                if not len(key):
-                    continue
-                yield _batch(len(key), kind=pa.array(np.ones(len(key), np.int8)), row=pa.array(rows[doc]), doc=pa.array(ids[doc]), key=pa.array(key.view(np.int64)), seg=pa.array(seg.view(np.int64)), pos=pa.array((start - w.first[doc - a]).astype(np.int32)))
+                yield _batch(len(key), kind=pa.array(np.ones(len(key), np.int8)), doc=pa.array(ids[doc]), row=pa.array(rows[doc]), key=pa.array(key.view(np.int64)), seg=pa.array(seg.view(np.int64)), pos=pa.array((start - w.first[doc - a]).astype(np.int32)))
                 by = np.lexsort((seg, key))
                 key, seg, start, n, doc = key[by], seg[by], start[by], n[by], ids[doc[by]]
                 new = np.ones(len(key), bool)
@@ -199,69 +195,90 @@ def _counting(n: np.ndarray) -> np.ndarray:
 # ---- 3: automata
 
 
-def least_holders(texts: X.Texts, key: np.ndarray, seg: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-    """For rows sorted by key and segment: each segment's first row, with the least holder of each of its windows.
-
-    Segments none of whose windows recur are left out.
-    """
-    w = X.words(texts, X.SPACED_WORDS)
+def _numbers(w: X.Words) -> np.ndarray:
+    """Words as numbers, equal exactly where their bytes are."""
     h = X.hashes(w)
     _, example, number = np.unique(h, return_index=True, return_inverse=True)
     if not X.same_words(w, np.arange(len(h)), w, example[number]):
         seen: dict[bytes, int] = {}
         number = np.array([seen.setdefault(x, len(seen)) for x in X.strings(w)])
-    ids, first = number.tolist(), w.first.tolist()
-    same_key = np.concatenate([[False], key[1:] == key[:-1]])
-    fresh = ~(same_key & np.concatenate([[False], seg[1:] == seg[:-1]]))
-    at = np.flatnonzero(fresh)
-    # rows of one segment, out of several slices of texts, become one
-    lo, hi = np.minimum.reduceat(lo, at).tolist(), np.maximum.reduceat(hi, at).tolist()
-    groups = np.append(np.flatnonzero(~same_key[at]), len(at)).tolist()
-    rows = at.tolist()
+    return number.astype(np.int64)
 
-    phrases: list[tuple[tuple[int, ...], int]] = []
-    waiting: list[tuple[int, tuple[int, ...]]] = []
-    size = 0
+
+def _held(ids: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and greatest holder of the words of each window, from those of all windows with the same words."""
+    for seed in range(64):
+        h = X.ngrams(X.mix(ids.astype(np.uint64) + _U(seed << 40)), WINDOW)[start]
+        by = np.argsort(h, kind="stable")
+        new = np.ones(len(h), bool)
+        new[1:] = h[by[1:]] != h[by[:-1]]
+        group, at = np.cumsum(new) - 1, np.flatnonzero(new)
+        example = start[by[at]][group]
+        if all(np.array_equal(ids[start[by] + k], ids[example + k]) for k in range(WINDOW)):
+            least, most = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+            least[by], most[by] = np.minimum.reduceat(lo[by], at)[group], np.maximum.reduceat(hi[by], at)[group]
+            return least, most
+    raise RuntimeError("windows share hashes under every seed")
+
+
+def least_holders(texts: X.Texts, key: np.ndarray, seg: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+    """For rows sorted by key and segment: each segment's first row, with the least holder of each of its windows.
+
+    The rows hold all segments of their keys. Segments none of whose windows recur are left out. Phrases are the longest
+    runs of a segment's windows that recur in the same least and greatest document.
+    """
+    w = X.words(texts, X.SPACED_WORDS)
+    numbers = _numbers(w)
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])
+    rows = np.flatnonzero(fresh)
+    # rows of one segment, out of several slices of texts, become one
+    lo, hi = np.minimum.reduceat(lo, rows), np.maximum.reduceat(hi, rows)
+    n = w.counts[rows] - WINDOW + 1
+    of = np.repeat(np.arange(len(rows)), n)
+    start = w.first[:-1][rows][of] + _counting(n)
+    least, most = _held(numbers, start, lo[of], hi[of])
+    recurs = least < most
+    new = recurs.copy()
+    new[1:] &= ~(recurs[:-1] & (of[1:] == of[:-1]) & (least[1:] == least[:-1]) & (most[1:] == most[:-1]))
+    begin = np.flatnonzero(new)
+    # a run ends before the next one, or the next window that doesn't recur
+    stop = np.flatnonzero(np.append(new[1:] | ~recurs[1:], True) & recurs)
+    ids = numbers.tolist()
+    first = w.first.tolist()
+    phrases: dict[tuple[int, ...], int] = {}
+    waiting: list[int] = []
+    size, last = 0, -1
 
     def streamed() -> Iterator[tuple[int, list[int]]]:
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for i, (phrase, _) in enumerate(phrases):
+        found = list(phrases.items())
+        for i, (phrase, _) in enumerate(found):
             automaton.add_word(phrase, i)
         automaton.make_automaton()
-        for row, words in waiting:
-            found = [_NEVER] * (len(words) - WINDOW + 1)
+        for row in waiting:
+            words = tuple(ids[first[row] : first[row + 1]])
+            out = [_NEVER] * (len(words) - WINDOW + 1)
             for end, i in automaton.iter(words):
-                phrase, holder = phrases[i]
+                phrase, holder = found[i]
                 for k in range(end - len(phrase) + 1, end - WINDOW + 2):
-                    found[k] = min(found[k], holder)
-            if min(found) < _NEVER:
-                yield row, found
-
-    for a, b in zip(groups, groups[1:], strict=False):
-        if b - a == 1:
-            if lo[a] == hi[a]:
-                continue
-            words = tuple(ids[first[rows[a]] : first[rows[a] + 1]])
-            phrases.append((words, lo[a]))
-            waiting.append((rows[a], words))
-            size += len(words)
-        else:
-            holders: dict[tuple[int, ...], list[int]] = {}
-            for s in range(a, b):
-                words = tuple(ids[first[rows[s]] : first[rows[s] + 1]])
-                waiting.append((rows[s], words))
-                for k in range(len(words) - WINDOW + 1):
-                    x = holders.setdefault(words[k : k + WINDOW], [lo[s], hi[s]])
-                    x[0], x[1] = min(x[0], lo[s]), max(x[1], hi[s])
-            recurring = [(x, y[0]) for x, y in holders.items() if y[0] < y[1]]
-            phrases += recurring
-            size += WINDOW * len(recurring)
-        if size >= AUTOMATON_WORDS:
-            yield from streamed()
-            phrases.clear()
-            waiting.clear()
-            size = 0
-    if phrases:
+                    out[k] = min(out[k], holder)
+            yield row, out
+
+    for a, b, s, holder in zip(start[begin].tolist(), start[stop].tolist(), of[begin].tolist(), least[begin].tolist(), strict=True):
+        if s != last:
+            if size >= AUTOMATON_WORDS:
+                yield from streamed()
+                phrases.clear()
+                waiting.clear()
+                size = 0
+            waiting.append(int(rows[s]))
+            last = s
+        phrase = tuple(ids[a : b + WINDOW])
+        if phrases.setdefault(phrase, holder) != holder:
+            phrases[phrase] = min(phrases[phrase], holder)
+        size += len(phrase)
+    if waiting:
         yield from streamed()
 
 
@@ -296,54 +313,64 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- 4: removal
 
 
+def _picked(sent):
+    """The documents that may lose words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.may_hold(batch.column(3).to_numpy().view(_U)))).select(["doc", "row", "text"])
+
+    return run
+
+
 def _remover(texts_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, text, starts = None, None, []
+        now, text, starts = None, None, []
         out: list[tuple] = []
 
         def done() -> None:
-            words = text.split()
+            words = text.encode().split()
             gone = np.zeros(len(words) + 1, np.int64)
-            at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+            at = np.concatenate(starts)
             np.add.at(gone, at, 1)
             np.add.at(gone, at + WINDOW, -1)
             gone = np.cumsum(gone)[:-1] > 0
             kept = b" ".join(x for x, g in zip(words, gone.tolist(), strict=True) if not g)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
-            out.append((row, int(gone.sum()), hashlib.sha256(kept).hexdigest(), [{"start": int(a), "end": int(b)} for a, b in edge], kept.decode(errors="replace") if texts_too else None))
+            out.append((*now, int(gone.sum()), hashlib.sha256(kept).hexdigest(), [{"start": int(a), "end": int(b)} for a, b in edge], kept.decode() if texts_too else None))
 
         def flushed() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
             out.clear()
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["row", "n_removed", "sha", "removed", "kept"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["doc", "row", "n_removed", "sha", "removed", "kept"])
 
-        # rows of a document: its text, then its occurrences
+        # rows of a document: its text, more than once if it is repeated, then its occurrences
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows, texts = batch.column(0).to_numpy(), batch.column(1)
-            doc, pos = batch.column(2).fill_null(0).to_numpy(), batch.column(3).fill_null(0).to_numpy()
-            lists = batch.column(4)
-            sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
-            sizes = np.where(np.asarray(lists.is_null()), 0, sizes)
+            doc, rows, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            pos, lists = batch.column(3).fill_null(0).to_numpy(), batch.column(4)
+            sizes = np.where(np.asarray(lists.is_null()), 0, np.diff(lists.offsets.to_numpy()))
             flat = lists.flatten().to_numpy()
             of = np.repeat(np.arange(len(rows)), sizes)
             less = flat < doc[of]
             at, of = (pos[of] + _counting(sizes))[less].astype(np.int64), of[less]
-            edges = [0, *(np.flatnonzero(rows[1:] != rows[:-1]) + 1).tolist(), len(rows)]
+            edges = [0, *(np.flatnonzero((rows[1:] != rows[:-1]) | (doc[1:] != doc[:-1])) + 1).tolist(), len(rows)]
             for a, b in zip(edges, edges[1:], strict=False):
-                if rows[a] != row:
-                    if row is not None and text is not None:
+                this = int(doc[a]), int(rows[a])
+                if this != now:
+                    if now is not None and text is not None:
                         done()
-                    row, text, starts = int(rows[a]), None, []
+                    now, text, starts = this, None, []
                 if text is None:
                     text = texts[a].as_py()
                 lo, hi = np.searchsorted(of, [a, b])
                 starts.append(at[lo:hi])
             if len(out) >= 500:
                 yield flushed()
-        if row is not None and text is not None:
+        if now is not None and text is not None:
             done()
         yield flushed()
 
@@ -354,7 +381,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     """A row for each document: ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256``, ``removed`` (runs of removed
     words as start and end) and, if ``keep_text``, ``kept``, the kept words joined by one space."""
     spark = docs.sparkSession
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    # an id and a hash of the text tell rows apart; repeated documents have the same result
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
     anchors = docs.where("doc is not null").select("doc", "text").mapInArrow(_anchors, "h long, lo long, hi long, n long")
     recurring = anchors.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).where("lo < hi").select("h", "n")
     recurring = written(recurring, "anchors")
@@ -363,18 +392,31 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     hot_keys = np.sort(np.array([r.h for r in hot], np.int64).view(_U))
     sent = spark.sparkContext.broadcast((bloom.of(recurring, "h"), hot_keys))
 
-    found = written(docs.mapInArrow(_finder(sent, keep_text), _FOUND), "segments")
+    found = written(docs.mapInArrow(_finder(sent), _FOUND), "segments")
     let_go(spark)
     phrases = found.where("kind = 2").select("key", "seg", "lo", "hi", "text").repartition("key").sortWithinPartitions("key", "seg")
     least = written(phrases.mapInArrow(_shard, "key long, seg long, least array<bigint>"), "holders")
     let_go(spark)
 
-    places = found.where("kind = 1").select("row", "doc", "key", "seg", "pos").join(least, ["key", "seg"]).where(F.exists("least", lambda x: x < F.col("doc")))
-    places = places.select("row", F.lit(None).cast("binary").alias("text"), "doc", "pos", "least")
-    texts = found.where("kind = 0 and text is not null").select("row", "text", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("array<bigint>").alias("least"))
-    both = texts.union(places).repartition("row").sortWithinPartitions("row", F.col("pos").asc_nulls_first())
-    cut = both.mapInArrow(_remover(keep_text), "row long, n_removed long, sha string, removed array<struct<start:bigint,end:bigint>>, kept string")
-    base = found.where("kind = 0").select("row", F.col("doc").alias("doc_id"), "n_words", F.col("sha").alias("whole"))
-    out = base.join(cut, "row", "left")
-    columns = ["doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "whole").alias("kept_sha256"), F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("removed")]
-    return out.select(*columns, *([F.col("kept")] if keep_text else []))
+    # both sides grow with the corpus, and so are merged and never broadcast
+    places = found.where("kind = 1").select("doc", "row", "key", "seg", "pos").join(least.hint("merge"), ["key", "seg"]).where(F.exists("least", lambda x: x < F.col("doc")))
+    places = written(places.select("doc", "row", "pos", "least"), "places")
+    let_go(spark)
+    texts = docs.select("doc", "row", "text", F.xxhash64("doc", "row").alias("h"))
+    if keep_text:
+        texts = texts.where("doc is not null").select("doc", "row", "text")
+    else:
+        wanted = spark.sparkContext.broadcast(bloom.of(places.select(F.xxhash64("doc", "row").alias("h")).distinct(), "h"))
+        texts = texts.where("doc is not null").mapInArrow(_picked(wanted), "doc long, row long, text string")
+    both = texts.select("doc", "row", "text", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("array<bigint>").alias("least")).union(places.select("doc", "row", F.lit(None).cast("string").alias("text"), "pos", "least"))
+    both = both.repartition("doc", "row").sortWithinPartitions("doc", "row", F.col("pos").asc_nulls_first())
+    cut = both.mapInArrow(_remover(keep_text), "doc long, row long, n_removed long, sha string, removed array<struct<start:bigint,end:bigint>>, kept string")
+    base = found.where("kind = 0").select("doc", "row", "n_words", F.col("sha").alias("whole"))
+    out = base.join(cut, ["doc", "row"], "left")
+    columns = [F.col("doc").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "whole").alias("kept_sha256"), F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("removed")]
+    if not keep_text:
+        return out.select(*columns)
+    # documents without an id keep their words
+    alone = docs.where("doc is null").select("row", F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda x: x != ""), " ").alias("whole_text")).dropDuplicates(["row"])
+    out = out.join(alone, (F.col("doc").isNull()) & (out["row"] == alone["row"]), "left")
+    return out.select(*columns, F.coalesce("kept", "whole_text").alias("kept"))

@@ -45,8 +45,8 @@ from .store import let_go, written
 WINDOW, ANCHOR = 13, 5
 #: Anchors that are entered window by window, at most, and how often each is at least.
 MOST_HOT, LEAST_HOT = 50_000, 2_000
-#: Words of the phrases of an automaton.
-AUTOMATON_WORDS = 600_000
+#: Words of the phrases of an automaton, which stays in a processor's cache, and bytes of segments that are confirmed at once.
+AUTOMATON_WORDS, SHARD_BYTES = 15_000, 8 << 20
 #: Anchors that a task sums before it hands them on.
 SUMMED = 1_500_000
 _NEVER = np.iinfo(np.int64).max
@@ -298,7 +298,7 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
-        if size >= 24 << 20:
+        if size >= SHARD_BYTES:
             whole = pa.Table.from_batches(held)
             keys = whole.column("key").to_numpy()
             # up to the last key, of which more may come

@@ -39,7 +39,7 @@ THRESHOLD = 0.7
 LEAST_DOCS, LEAST_RATIO = 3, 8.0
 MOST_FEATURES = 4000
 
-_ENDS = np.zeros(256, np.int64)
+_ENDS = np.zeros(256, np.uint8)
 _ENDS[[ord(c) for c in ".!?\n"]] = 1
 
 OFFENDING = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
@@ -79,7 +79,7 @@ def sentences(w: X.Words) -> tuple[np.ndarray, np.ndarray]:
     """Sentences with words, numbered over all texts: the sentence of each word, and the first of each text."""
     if not len(w.start):
         return np.zeros(0, np.int64), np.zeros(len(w.first), np.int64)
-    gone = np.cumsum(_ENDS[w.data])
+    gone = np.cumsum(_ENDS[w.data], dtype=np.int64 if len(w.data) >= 1 << 31 else np.int32)
     new = np.ones(len(w.start), bool)
     new[1:] = gone[w.start[1:]] != gone[w.start[:-1]]
     new[w.first[:-1][w.counts > 0]] = True
@@ -107,9 +107,18 @@ def screened(h: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray,
     """
     if not len(h):
         return np.zeros(0, np.uint64), np.zeros(0)
-    vocabulary, number = np.unique(h, return_inverse=True)
-    pairs = np.unique(number.astype(np.int64) * len(y) + doc)
-    word, bad = pairs // len(y), y[pairs % len(y)]
+    # each feature once for each document; documents are in order, and some are looked at at a time
+    once, owner = [], []
+    for d in range(0, len(y), 500):
+        lo, hi = np.searchsorted(doc, [d, d + 500])
+        by = np.lexsort((doc[lo:hi], h[lo:hi]))
+        x, of = h[lo:hi][by], doc[lo:hi][by]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (of[1:] != of[:-1])
+        once.append(x[new])
+        owner.append(of[new].astype(np.int32))
+    vocabulary, word = np.unique(np.concatenate(once), return_inverse=True)
+    bad = y[np.concatenate(owner)]
     n, k = np.bincount(word, minlength=len(vocabulary)), np.bincount(word, bad, len(vocabulary))
     p = y.mean()
     share = np.clip(k / n, 1e-12, 1 - 1e-12)
@@ -127,7 +136,8 @@ def fit(w: X.Words, y: np.ndarray, rounds: int = 400, rate: float = 0.1, ridge:
     n = int(doc_first[-1])
     if not n or y.min() == y.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), 40.0 if n and y.min() == 1 else -40.0)
-    doc_of = np.repeat(np.arange(n_docs), np.diff(doc_first))
+    sentence = sentence.astype(np.int32)
+    doc_of = np.repeat(np.arange(n_docs, dtype=np.int32), np.diff(doc_first))
     vocabulary, ratio = np.zeros(0, np.uint64), np.zeros(0)
     for kind in KINDS:
         h, of = features(w, kind)

@@ -39,13 +39,13 @@ WINDOW = 4096
 #: Tokens of a group, counted before its last slice of texts.
 GROUP_TOKENS = 8 << 20
 #: Words whose ids a Python worker keeps, and bytes of the longest of them.
-CACHE_WORDS, CACHE_BYTES = 1_000_000, 64
+CACHE_WORDS, CACHE_BYTES = 1_500_000, 64
 
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
 class WordIds:
-    """Token ids of words, kept for the words seen most recently."""
+    """Token ids of words, kept for the words that are seen again."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
@@ -57,11 +57,28 @@ class WordIds:
         self.ids = np.zeros(0, np.uint32)
         self.words = X.Words(np.zeros(8, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(2, np.int64))
         self.word = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _make_room(self) -> None:
+        """Forget the words that were seen in one slice of texts only, or all if most were seen in more."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > CACHE_WORDS // 2:
+            self._clear()
+            return
+        n, at = self.n[kept], self.at[kept]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(at - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        a, b = self.words.start[self.word[kept]], self.words.end[self.word[kept]]
+        stop = np.cumsum(b - a)
+        data = self.words.data[np.repeat(a - (stop - (b - a)), b - a) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        self.words = X.Words(np.concatenate([data, np.zeros(8, np.uint8)]), stop - (b - a), stop, self.words.first)
+        self.h, self.at, self.n, self.ids, self.word, self.uses = self.h[kept], ends - n, n, ids, np.arange(len(kept)), np.ones(len(kept), np.int64)
 
     def _encode(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        got = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode(errors="replace") for x in found], add_special_tokens=False)]
-        n = np.array([len(x) for x in got], np.int64)
-        return np.fromiter((i for x in got for i in x), np.uint32, int(n.sum())), n
+        """The ids of all words one after the other, and how many each has."""
+        got = self.tokenizer.encode([x.decode(errors="replace") for x in found], is_pretokenized=True, add_special_tokens=False)
+        n = np.bincount(np.array(got.word_ids, np.int64), minlength=len(found)) if len(got) else np.zeros(len(found), np.int64)
+        return np.array(got.ids, np.uint32), n
 
     def _learn(self, w: X.Words, h: np.ndarray, words: np.ndarray) -> None:
         raw = w.data.tobytes()
@@ -75,7 +92,7 @@ class WordIds:
         self.words = X.Words(data, np.concatenate([self.words.start, start]), np.concatenate([self.words.end, start + size]), self.words.first)
         at = np.searchsorted(self.h, h)
         self.at, self.n = np.insert(self.at, at, len(self.ids) + ends - n), np.insert(self.n, at, n)
-        self.word, self.h = np.insert(self.word, at, k + np.arange(len(h))), np.insert(self.h, at, h)
+        self.word, self.uses, self.h = np.insert(self.word, at, k + np.arange(len(h))), np.insert(self.uses, at, 0), np.insert(self.h, at, h)
         self.ids = np.concatenate([self.ids, ids])
 
     def tokens(self, texts: X.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +103,7 @@ class WordIds:
         h = X.hashes(w)
         unique, first, each = np.unique(h, return_index=True, return_inverse=True)
         if len(self.h) + len(unique) > CACHE_WORDS:
-            self._clear()
+            self._make_room()
         at = np.minimum(np.searchsorted(self.h, unique), max(0, len(self.h) - 1))
         known = self.h[at] == unique if len(self.h) else np.zeros(len(unique), bool)
         if not X.same_words(w, first[known], self.words, self.word[at[known]]):
@@ -100,6 +117,7 @@ class WordIds:
         ids, place, n = self.ids, np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
         if len(self.h):
             place[short], n[short] = self.at[at[short]], self.n[at[short]]
+            self.uses[at[short]] += 1
         if not short.all():
             long = first[~short]
             more, size = self._encode([w.data[w.start[j] : w.end[j]].tobytes() for j in long])

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from .registry import sql_query as q
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heddle.sources import partitioned, read_table
+
+from .registry import frame_query, sql_query as q
 
 q(
     "flagship",
@@ -54,3 +59,10 @@ q("offset_only", "SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 20"
 q("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 q("distinct", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
 q("distinct_sorted_limit", "SELECT DISTINCT c_nationkey FROM customer ORDER BY c_nationkey DESC LIMIT 5")
+
+
+@frame_query("SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag")
+def scan_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan with a filter and a projection whose rows are then dealt by hash, so that the aggregate needs no more shuffle."""
+    rows = read_table(spark, sf_dir, "lineitem").where("l_quantity > 10").select("l_returnflag")
+    return partitioned(rows, "hash", 8, "l_returnflag").groupBy("l_returnflag").agg(F.count("*").alias("n"))

@@ -41,7 +41,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and numbers of links of documents that share four fifths of their five-grams."""
-    return _near_dups.joined(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
+    return _near_dups.joined(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,10 +215,9 @@ ORACLE: dict[str, str] = {
         links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
         reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
         groups AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a),
-        counts AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a),
-        copies AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS copy_id FROM d WHERE len(w) > 0)
-        SELECT d.doc_id, least(d.doc_id, coalesce(least, d.doc_id)) AS class_id, coalesce(copy_id, d.doc_id) AS copy_id, coalesce(n, 0) AS n_links
-        FROM d LEFT JOIN groups USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN copies USING (doc_id)""",
+        counts AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a)
+        SELECT d.doc_id, least(d.doc_id, coalesce(least, d.doc_id)) AS class_id, coalesce(n, 0) AS n_links
+        FROM d LEFT JOIN groups USING (doc_id) LEFT JOIN counts USING (doc_id)""",
     "op9_substrings": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         k AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS k, w FROM d WHERE len(w) >= 13),

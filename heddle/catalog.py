@@ -90,9 +90,11 @@ class Catalog:
     routines: dict[str, Routine] = field(default_factory=dict)
     functions: dict[str, str] = field(default_factory=dict)
     schemas: set[str] = field(default_factory=lambda: {"public"})
+    #: Tables' definitions over time: table, version, statement.
+    history: list[tuple[str, int, str]] = field(default_factory=list)
 
     def copy(self) -> Catalog:
-        return Catalog(dict(self.tables), dict(self.views), dict(self.indexes), dict(self.routines), dict(self.functions), set(self.schemas))
+        return Catalog(dict(self.tables), dict(self.views), dict(self.indexes), dict(self.routines), dict(self.functions), set(self.schemas), list(self.history))
 
     def table(self, name: str) -> Table:
         if (t := self.tables.get(name.lower())) is None:

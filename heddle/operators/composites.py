@@ -9,7 +9,7 @@ q("composite_q92", "SELECT c.c_mktsegment, count(DISTINCT c.c_custkey) AS custom
 q("composite_q93", "WITH t AS (SELECT c_custkey, c_nationkey, c_acctbal, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) SELECT n_name, c_custkey, c_acctbal FROM t JOIN nation ON c_nationkey = n_nationkey WHERE r <= 3")
 q("composite_q94", "SELECT c.c_custkey, c.c_acctbal FROM customer c WHERE c.c_acctbal > (SELECT avg(i.c_acctbal) FROM customer i WHERE i.c_nationkey = c.c_nationkey) AND EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 q("composite_q95", "SELECT kind, n FROM (SELECT 'customer' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'part', count(*) FROM part) t WHERE n > 10")
-q("composite_q96", "SELECT o_custkey, o_orderkey, o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS change, CASE WHEN o_totalprice > avg(o_totalprice) OVER (PARTITION BY o_orderkey) THEN 1 ELSE 0 END AS above FROM orders WHERE o_custkey < 200")
+q("composite_q96", "SELECT o_custkey, o_orderkey, o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS change, CASE WHEN o_totalprice > avg(o_totalprice) OVER (PARTITION BY o_orderkey) THEN 1 ELSE 0 END AS above FROM orders")
 q(
     "composite_q97",
     "SELECT r.r_name FROM region r WHERE r.r_regionkey IN (SELECT n.n_regionkey FROM nation n JOIN (SELECT s_nationkey, count(*) AS k FROM supplier GROUP BY s_nationkey) s ON s.s_nationkey = n.n_nationkey GROUP BY n.n_regionkey HAVING sum(s.k) > 5)",

@@ -48,8 +48,8 @@ q("fn_abs_coalesce_nullif_length", "SELECT c_custkey, abs(c_acctbal) AS a, coale
 q("fn_length_chars", "SELECT s, CAST(char_length(s) AS INT) AS chars, CAST(octet_length(s) AS INT) AS bytes FROM VALUES ('é'), ('abc'), ('') AS t(s)", "SELECT s, CAST(length(s) AS INT) AS chars, CAST(strlen(s) AS INT) AS bytes FROM (VALUES ('é'), ('abc'), ('')) AS t(s)")
 q("fn_upper_lower", "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l FROM nation")
 q("concat_op", "SELECT n_nationkey, n_name || '-' || CAST(n_regionkey AS VARCHAR(5)) AS s, n_name || CAST(NULL AS VARCHAR(1)) AS gone FROM nation")
-q("arith", "SELECT l_orderkey, l_linenumber, l_linenumber + 1 AS p, l_linenumber * 3 - 2 AS m, -l_linenumber AS neg, CAST(l_partkey % 7 AS BIGINT) AS r FROM lineitem WHERE l_orderkey < 500")
-q("arith_int_div", "SELECT l_orderkey, l_linenumber, l_partkey div l_linenumber AS d, try_divide(1, l_linenumber - 1) IS NULL AS by_zero FROM lineitem WHERE l_orderkey < 500", "SELECT l_orderkey, l_linenumber, l_partkey // l_linenumber AS d, l_linenumber = 1 AS by_zero FROM lineitem WHERE l_orderkey < 500")
+q("arith", "SELECT l_orderkey, l_linenumber, l_linenumber + 1 AS p, l_linenumber * 3 - 2 AS m, -l_linenumber AS neg, CAST(l_partkey % 7 AS BIGINT) AS r FROM lineitem")
+q("arith_int_div", "SELECT l_orderkey, l_linenumber, l_partkey div l_linenumber AS d, try_divide(1, l_linenumber - 1) IS NULL AS by_zero FROM lineitem", "SELECT l_orderkey, l_linenumber, l_partkey // l_linenumber AS d, l_linenumber = 1 AS by_zero FROM lineitem")
 
 q("sort_nulls", "SELECT n_nationkey, nullif(n_regionkey, 3) AS k FROM nation ORDER BY k DESC NULLS LAST, n_nationkey LIMIT 12")
 q("sort_nulls_first", "SELECT n_nationkey, nullif(n_regionkey, 3) AS k FROM nation ORDER BY k ASC NULLS FIRST, n_nationkey DESC LIMIT 7")

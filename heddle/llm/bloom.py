@@ -55,7 +55,7 @@ def _parts(power: int):
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in parts.values()], pa.binary())], names=["part", "bits"])
 
-    return run
+    return X.lean(run)
 
 
 def of(hashes: DataFrame, column: str) -> Bloom:
@@ -64,7 +64,7 @@ def of(hashes: DataFrame, column: str) -> Bloom:
     power = min(max(LEAST_BITS, (BITS_EACH * max(n, 1) - 1).bit_length()), MOST_BITS)
     bits = np.zeros(1 << (power - 3), np.uint8)
     each = 1 << (power - 3 - _RANGES)
-    parts = hashes.select(F.col(column).alias("h"), F.shiftrightunsigned(column, 64 - _RANGES).alias("range")).repartition("range").select("h")
+    parts = hashes.select(F.col(column).alias("h")).repartitionByRange("h")
     for row in parts.mapInArrow(_parts(power), "part int, bits binary").collect():
         bits[row.part * each : (row.part + 1) * each] |= np.frombuffer(row.bits, np.uint8)
     return Bloom(bits.tobytes(), power)

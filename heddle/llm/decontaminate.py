@@ -258,7 +258,7 @@ def _pass(block, column: str, seen: bool):
             columns = batch.columns[: len(names) - seen]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, kind)], names=[f"c{i}" for i in range(len(columns) + 1)])
 
-    return run
+    return X.lean(run)
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int) -> Iterator[tuple[list[int], list[str]]]:

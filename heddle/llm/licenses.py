@@ -264,4 +264,4 @@ def scanned(docs: DataFrame, text_col: str = "text", phrases: dict[str, str] = P
             out = [x for _, _, texts in X.slices(batch.column(at)) for x in scanner.scan(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _ARROW)], names=[f"c{i}" for i in range(batch.num_columns + 1)])
 
-    return docs.toDF(*[f.name for f in fields]).mapInArrow(run, T.StructType([*fields, T.StructField(f"c{len(fields)}", SCANNED)]))
+    return docs.toDF(*[f.name for f in fields]).mapInArrow(X.lean(run), T.StructType([*fields, T.StructField(f"c{len(fields)}", SCANNED)]))

@@ -119,7 +119,7 @@ def _signer(bands: int, rows: int):
                     names=["doc_id", "text_key", "one", "two", "grams", "bands"],
                 )
 
-    return run
+    return X.lean(run)
 
 
 def _sets(sent):
@@ -135,9 +135,10 @@ def _sets(sent):
                 sets = [np.unique(g[first[i] : first[i + 1]]).tobytes() for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sets, pa.binary())], names=["doc_id", "text_key", "set"])
 
-    return run
+    return X.lean(run)
 
 
+@X.lean
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array(X.mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], names=["h"])
@@ -244,7 +245,7 @@ def _verifier(threshold: float):
             out.append(got)
         yield done()
 
-    return run
+    return X.lean(run)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -37,9 +37,11 @@ from . import textcore as X
 
 WINDOW = 4096
 #: Tokens of a group, counted before its last slice of texts.
-GROUP_TOKENS = 8 << 20
+GROUP_TOKENS = 4 << 20
 #: Words whose ids a Python worker keeps, and bytes of the longest of them.
-CACHE_WORDS, CACHE_BYTES = 1_500_000, 64
+CACHE_WORDS, CACHE_BYTES = 1_600_000, 64
+#: Bytes of texts whose ids are made at once.
+SLICE_BYTES = 4 << 20
 
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
@@ -53,11 +55,11 @@ class WordIds:
 
     def _clear(self) -> None:
         self.h = np.zeros(0, np.uint64)
-        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at, self.n = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
-        self.words = X.Words(np.zeros(8, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(2, np.int64))
-        self.word = np.zeros(0, np.int64)
-        self.uses = np.zeros(0, np.int64)
+        self.words = X.Words(np.zeros(8, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(2, np.int64))
+        self.word = np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.int32)
 
     def _make_room(self) -> None:
         """Forget the words that were seen in one slice of texts only, or all if most were seen in more."""
@@ -66,19 +68,25 @@ class WordIds:
             self._clear()
             return
         n, at = self.n[kept], self.at[kept]
-        ends = np.cumsum(n)
+        ends = np.cumsum(n, dtype=np.int64)
         ids = self.ids[np.repeat(at - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
         a, b = self.words.start[self.word[kept]], self.words.end[self.word[kept]]
-        stop = np.cumsum(b - a)
+        stop = np.cumsum(b - a, dtype=np.int64)
         data = self.words.data[np.repeat(a - (stop - (b - a)), b - a) + np.arange(int(stop[-1]) if len(stop) else 0)]
-        self.words = X.Words(np.concatenate([data, np.zeros(8, np.uint8)]), stop - (b - a), stop, self.words.first)
-        self.h, self.at, self.n, self.ids, self.word, self.uses = self.h[kept], ends - n, n, ids, np.arange(len(kept)), np.ones(len(kept), np.int64)
+        self.words = X.Words(np.concatenate([data, np.zeros(8, np.uint8)]), (stop - (b - a)).astype(np.int32), stop.astype(np.int32), self.words.first)
+        self.h, self.at, self.n, self.ids = self.h[kept], (ends - n).astype(np.int32), n, ids
+        self.word, self.uses = np.arange(len(kept), dtype=np.int32), np.ones(len(kept), np.int32)
 
     def _encode(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after the other, and how many each has."""
-        got = self.tokenizer.encode([x.decode(errors="replace") for x in found], is_pretokenized=True, add_special_tokens=False)
-        n = np.bincount(np.array(got.word_ids, np.int64), minlength=len(found)) if len(got) else np.zeros(len(found), np.int64)
-        return np.array(got.ids, np.uint32), n
+        ids, n = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        # the tokenizer's own records of a word take much more room than its ids
+        for at in range(0, len(found), 20_000):
+            part = [x.decode(errors="replace") for x in found[at : at + 20_000]]
+            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(got.ids, np.uint32))
+            n.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(n)
 
     def _learn(self, w: X.Words, h: np.ndarray, words: np.ndarray) -> None:
         raw = w.data.tobytes()
@@ -89,7 +97,7 @@ class WordIds:
         data = np.concatenate([self.words.data[:base], np.frombuffer(b"".join(found), np.uint8), np.zeros(8, np.uint8)])
         start = base + np.cumsum(size) - size
         k = len(self.words.start)
-        self.words = X.Words(data, np.concatenate([self.words.start, start]), np.concatenate([self.words.end, start + size]), self.words.first)
+        self.words = X.Words(data, np.concatenate([self.words.start, start.astype(np.int32)]), np.concatenate([self.words.end, (start + size).astype(np.int32)]), self.words.first)
         at = np.searchsorted(self.h, h)
         self.at, self.n = np.insert(self.at, at, len(self.ids) + ends - n), np.insert(self.n, at, n)
         self.word, self.uses, self.h = np.insert(self.word, at, k + np.arange(len(h))), np.insert(self.uses, at, 0), np.insert(self.h, at, h)
@@ -240,7 +248,7 @@ def _packer(config, end_id: int, window: int):
 
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length"]
         for batch in batches:
-            for a, b, texts in X.slices(batch.column(1)):
+            for a, b, texts in X.slices(batch.column(1), most_bytes=SLICE_BYTES):
                 ids, at = cache.tokens(texts)
                 # a copy for each document with its closing id
                 group.append((batch.column(0).slice(a, b - a), [np.append(ids[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4") for i in range(b - a)]))
@@ -251,7 +259,7 @@ def _packer(config, end_id: int, window: int):
         if group:
             yield emit()
 
-    return run
+    return X.lean(run)
 
 
 def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, window: int = WINDOW) -> DataFrame:

@@ -97,6 +97,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> M
     return Model(mean, scale, theta[:k], float(theta[k]))
 
 
+@X.lean
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, texts in X.slices(batch.column(1)):
@@ -122,7 +123,7 @@ def _scorer(sent):
             got = [model.logits(features(texts)) for _, _, texts in X.slices(batch.column(3))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.concatenate(got) if got else np.zeros(0))], names=["doc_id", "host", "path", "logit"])
 
-    return run
+    return X.lean(run)
 
 
 def _logit(p: Column) -> Column:

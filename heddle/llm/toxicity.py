@@ -100,37 +100,49 @@ def features(w: X.Words, kind: int) -> tuple[np.ndarray, np.ndarray]:
     return X.hashes(stem, seed=kind), long
 
 
-def screened(h: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the features that toxic documents have more often than chance lets expect, with the surprise.
+def _parts(w: X.Words, docs: int = 400) -> Iterator[tuple[int, X.Words]]:
+    """Some texts' words at a time, with the number of the first of them."""
+    for d in range(0, len(w.first) - 1, docs):
+        first = w.first[d : d + docs + 1]
+        yield int(first[0]), X.Words(w.data, w.start[first[0] : first[-1]], w.end[first[0] : first[-1]], first - first[0])
+
+
+def screened(w: X.Words, kind: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a kind's features that toxic documents have more often than chance lets expect, with the surprise.
 
     That is the likelihood ratio of a feature's share of toxic documents against the share of all.
     """
-    if not len(h):
-        return np.zeros(0, np.uint64), np.zeros(0)
-    # each feature once for each document; documents are in order, and some are looked at at a time
-    once, owner = [], []
-    for d in range(0, len(y), 500):
-        lo, hi = np.searchsorted(doc, [d, d + 500])
-        by = np.lexsort((doc[lo:hi], h[lo:hi]))
-        x, of = h[lo:hi][by], doc[lo:hi][by]
-        new = np.ones(len(x), bool)
-        new[1:] = (x[1:] != x[:-1]) | (of[1:] != of[:-1])
-        once.append(x[new])
-        owner.append(of[new].astype(np.int32))
-    vocabulary, word = np.unique(np.concatenate(once), return_inverse=True)
-    bad = y[np.concatenate(owner)]
-    n, k = np.bincount(word, minlength=len(vocabulary)), np.bincount(word, bad, len(vocabulary))
+    once, labels, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)], 0
+    for _, part in _parts(w):
+        h, word = features(part, kind)
+        doc = part.owners()[word]
+        # each feature once for each document
+        by = np.lexsort((doc, h))
+        h, doc = h[by], doc[by]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        once.append(h[new])
+        labels.append(y[at + doc[new]].astype(np.int8))
+        at += len(part.first) - 1
+    h, bad = np.concatenate(once), np.concatenate(labels)
+    del once, labels
+    by = np.argsort(h)
+    h, bad = h[by], bad[by]
+    begin = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    n = np.diff(np.append(begin, len(h)))
+    k = np.add.reduceat(bad, begin, dtype=np.int64) if len(h) else n
     p = y.mean()
     share = np.clip(k / n, 1e-12, 1 - 1e-12)
     ratio = 2 * (k * np.log(share / p) + (n - k) * np.log((1 - share) / (1 - p)))
     good = (n >= LEAST_DOCS) & (share > p) & (ratio >= LEAST_RATIO)
-    return vocabulary[good], ratio[good]
+    return h[begin[good]], ratio[good]
 
 
 def fit(w: X.Words, y: np.ndarray, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-5) -> Model:
     """Weights that make the documents' noisy-or scores likeliest, less a ridge penalty, by Adam over all documents.
 
-    Document i is text i of ``w``, of label ``y[i]``. One kind of features is in memory at a time, until few are kept.
+    Document i is text i of ``w``, of label ``y[i]``. Features of few documents are in memory at a time, until few
+    features are kept.
     """
     (sentence, doc_first), n_docs = sentences(w), len(y)
     n = int(doc_first[-1])
@@ -138,20 +150,17 @@ def fit(w: X.Words, y: np.ndarray, rounds: int = 400, rate: float = 0.1, ridge:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 40.0 if n and y.min() == 1 else -40.0)
     sentence = sentence.astype(np.int32)
     doc_of = np.repeat(np.arange(n_docs, dtype=np.int32), np.diff(doc_first))
-    vocabulary, ratio = np.zeros(0, np.uint64), np.zeros(0)
-    for kind in KINDS:
-        h, of = features(w, kind)
-        more, more_ratio = screened(h, doc_of[sentence[of]], y)
-        vocabulary, ratio = np.append(vocabulary, more), np.append(ratio, more_ratio)
+    vocabulary, ratio = (np.concatenate(x) for x in zip(*[screened(w, kind, y) for kind in KINDS], strict=True))
     vocabulary = np.sort(vocabulary[np.lexsort((vocabulary, -ratio))[:MOST_FEATURES]])
     v = len(vocabulary)
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    for kind in KINDS if v else ():
-        h, of = features(w, kind)
-        at = np.minimum(np.searchsorted(vocabulary, h), v - 1)
-        known = vocabulary[at] == h
-        parts.append((at[known], sentence[of[known]]))
-    word, sentence = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
+    parts = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    for first, part in _parts(w) if v else ():
+        for kind in KINDS:
+            h, word = features(part, kind)
+            at = np.minimum(np.searchsorted(vocabulary, h), v - 1)
+            known = vocabulary[at] == h
+            parts.append((at[known].astype(np.int32), sentence[first + word[known]]))
+    word, sentence = (np.concatenate(x) for x in zip(*parts, strict=True))
     theta = np.zeros(v + 1)
     theta[v] = np.log(y.mean()) - np.log(n / n_docs)
     m, s = np.zeros(v + 1), np.zeros(v + 1)
@@ -187,11 +196,12 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= MOST_BYTES)
     rows = texts.join(F.broadcast(known), "id").select("y", "text").collect()
     rows.sort(key=lambda r: (r.text, r.y))
-    raw = [r.text.encode() for r in rows]
-    data = np.zeros(sum(map(len, raw)) + 8, np.uint8)
+    y, raw = np.array([r.y for r in rows], np.int64), [r.text.encode() for r in rows]
+    del rows
+    data, offs = np.zeros(sum(map(len, raw)) + 8, np.uint8), np.cumsum([0, *map(len, raw)])
     data[:-8] = np.frombuffer(b"".join(raw), np.uint8)
-    w = X.words(X.Texts(data, np.cumsum([0, *map(len, raw)])), X.LOWER_WORDS, lower=True)
-    return fit(w, np.array([r.y for r in rows], np.int64))
+    del raw
+    return fit(X.words(X.Texts(data, offs), X.LOWER_WORDS, lower=True), y)
 
 
 def _scorer(sent, column: str, least: float):
@@ -215,7 +225,7 @@ def _scorer(sent, column: str, least: float):
             got = pa.StructArray.from_arrays([pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(offending, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))], names=["score", "offending"])
             yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[f"c{i}" for i in range(batch.num_columns + 1)])
 
-    return run
+    return X.lean(run)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:

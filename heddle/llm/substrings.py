@@ -47,8 +47,8 @@ WINDOW, ANCHOR = 13, 5
 MOST_HOT, LEAST_HOT = 50_000, 2_000
 #: Words of the phrases of an automaton, which stays in a processor's cache, and bytes of segments that are confirmed at once.
 AUTOMATON_WORDS, SHARD_BYTES = 15_000, 8 << 20
-#: Anchors that a task sums before it hands them on.
-SUMMED = 1_500_000
+#: Anchors, and bytes of segments, that a task sums up before it hands them on.
+SUMMED, MERGED_BYTES = 1_500_000, 24 << 20
 _NEVER = np.iinfo(np.int64).max
 _U = np.uint64
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -103,6 +103,7 @@ def _summed(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
     return h[at], np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at), np.diff(np.append(at, len(h)))
 
 
+@X.lean
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -145,9 +146,30 @@ def _raw(w: X.Words, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(w.data[at])])
 
 
+def _merged(key: np.ndarray, seg: np.ndarray, lo: np.ndarray, hi: np.ndarray, text: pa.Array, ordered: bool) -> tuple:
+    """One row for each segment, with its least and greatest holder."""
+    if not ordered:
+        by = np.lexsort((seg, key))
+        key, seg, lo, hi, text = key[by], seg[by], lo[by], hi[by], text.take(pa.array(by))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])
+    if new.all():
+        return key, seg, lo, hi, text
+    at = np.flatnonzero(new)
+    return key[at], seg[at], np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), text.take(pa.array(at))
+
+
+def _phrases(held: list[tuple]) -> pa.RecordBatch:
+    key, seg, lo, hi = (np.concatenate([x[k] for x in held]) for k in range(4))
+    key, seg, lo, hi, text = _merged(key, seg, lo, hi, pa.concat_arrays([x[4] for x in held]), ordered=False)
+    return _batch(len(key), kind=pa.array(np.full(len(key), 2, np.int8)), key=pa.array(key.view(np.int64)), seg=pa.array(seg.view(np.int64)), lo=pa.array(lo), hi=pa.array(hi), text=text)
+
+
 def _finder(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, hot = sent.value
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
             null = np.asarray(batch.column(0).is_null())
             ids, rows = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
@@ -175,15 +197,17 @@ def _finder(sent):
                 seg = two.of(start, n + WINDOW - 1)
                 doc = owner[start]
                 yield _batch(len(key), kind=pa.array(np.ones(len(key), np.int8)), doc=pa.array(ids[doc]), row=pa.array(rows[doc]), key=pa.array(key.view(np.int64)), seg=pa.array(seg.view(np.int64)), pos=pa.array((start - w.first[doc - a]).astype(np.int32)))
-                by = np.lexsort((seg, key))
-                key, seg, start, n, doc = key[by], seg[by], start[by], n[by], ids[doc[by]]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])
-                at = np.flatnonzero(new)
-                lo, hi = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
-                yield _batch(len(at), kind=pa.array(np.full(len(at), 2, np.int8)), key=pa.array(key[at].view(np.int64)), seg=pa.array(seg[at].view(np.int64)), lo=pa.array(lo), hi=pa.array(hi), text=_raw(w, start[at], n[at] + WINDOW - 1))
+                # a segment that the texts of one task hold many times is sent on once
+                raw_text = _raw(w, start, n + WINDOW - 1)
+                held.append((key, seg, ids[doc], ids[doc], raw_text))
+                size += raw_text.nbytes
+                if size >= MERGED_BYTES:
+                    yield _phrases(held)
+                    held, size = [], 0
+        if held:
+            yield _phrases(held)
 
-    return run
+    return X.lean(run)
 
 
 def _counting(n: np.ndarray) -> np.ndarray:
@@ -282,6 +306,7 @@ def least_holders(texts: X.Texts, key: np.ndarray, seg: np.ndarray, lo: np.ndarr
         yield from streamed()
 
 
+@X.lean
 def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     size = 0
@@ -296,6 +321,11 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(seg[at]), pa.array([x for _, x in rows], pa.list_(pa.int64()))], names=["key", "seg", "least"])
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, seg, lo, hi = (batch.column(c).to_numpy() for c in ("key", "seg", "lo", "hi"))
+        key, seg, lo, hi, text = _merged(key, seg, lo, hi, batch.column("text"), ordered=True)
+        batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg), pa.array(lo), pa.array(hi), text], names=["key", "seg", "lo", "hi", "text"])
         held.append(batch)
         size += batch.nbytes
         if size >= SHARD_BYTES:
@@ -321,7 +351,7 @@ def _picked(sent):
         for batch in batches:
             yield batch.filter(pa.array(wanted.may_hold(batch.column(3).to_numpy().view(_U)))).select(["doc", "row", "text"])
 
-    return run
+    return X.lean(run)
 
 
 def _remover(texts_too: bool):
@@ -374,7 +404,7 @@ def _remover(texts_too: bool):
             done()
         yield flushed()
 
-    return run
+    return X.lean(run)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries that combine operators, one for each shape of the reference corpus' last section, over the driver's tables."""
+"""Queries that combine operators, and the shapes that the benchmark times."""
 
 from __future__ import annotations
 

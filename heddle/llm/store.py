@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import SparkSession
 
@@ -12,6 +13,11 @@ __all__ = ["let_go", "shared_dir", "written"]
 
 
 def let_go(spark: SparkSession) -> None:
-    """Have Spark remove the shuffle files of tables that nothing refers to any more; call it once the next table is written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have Spark remove the shuffle files of tables that nothing refers to any more; call it once the next table is written.
+
+    What tells of a query's end refers to its plan for a moment longer, hence the second round.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)

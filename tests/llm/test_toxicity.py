@@ -72,3 +72,26 @@ def test_one_kind_of_labels(spark):
     for y, want in ((0, [0.0, 0.0]), (None, [0.0, 0.0])):
         model = T.trained(docs, spark.createDataFrame([(0, y)], "doc_id long, toxic int"))
         assert [round(r.got.score, 6) for r in T.scored(docs, model).toDF("i", "t", "got").orderBy("i").collect()] == want
+
+
+def test_length_alone_is_not_toxic(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = T.trained(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    score = T.doc_scores(model, parsed([t for _, t, _ in rows]))[0]
+    clean = "\n".join(t for (_, t, y), s in zip(rows, score, strict=True) if not y and s < T.THRESHOLD)
+    clean = "\n".join([clean] * (4_000_000 // len(clean) + 1))
+    long = spark.createDataFrame([(0, clean), (1, clean + "\nw1 w2 w3 grok w4 w5 w6 w7 w8."), (2, None), (3, "...")], "doc_id long, text string")
+    got = {r.i: r.got for r in T.scored(long, model).toDF("i", "t", "got").collect()}
+    assert got[0].score < T.THRESHOLD <= got[1].score and got[2].score == got[3].score == 0
+    assert [clean[x.start : x.end] for x in got[0].offending] == [] and got[1].offending[-1].start > len(clean)
+
+
+def test_long_labelled_documents_are_learned(spark):
+    filler = " ".join(f"w{k}" for k in range(12_000)) + ". "
+    rows = [(i, (filler if y else filler * 2) + ("grok. " if y else ""), y) for i, _, y in corpus(100)]
+    assert min(len(t) for _, t, _ in rows) > 32_000
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = T.trained(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    score = T.doc_scores(model, parsed(["w1 w2 w3", "w1 w2 w3. grok"]))[0]
+    assert score[0] < T.THRESHOLD <= score[1]

@@ -30,7 +30,37 @@ from . import textcore as X
 #: Phrases with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Labels with templates. Each begins with two mandatory words.
+
+def _creative_commons(label: str, kind: str) -> list[tuple[str, str]]:
+    """The notice without a version, and with each version, followed by its port."""
+    notice = f"licensed under [[a]] [[the]] Creative Commons {kind}"
+    return [(label, f"{notice} [[International]] License"), *((label, f"{notice} {v} [[{{{{2}}}}]] License") for v in ("1.0", "2.0", "2.1", "2.5", "3.0", "4.0"))]
+
+
+def _gpl(label: str, version: str) -> list[tuple[str, str]]:
+    """The notice of one line, and the standard header after the program's name."""
+    return [
+        (label, f"licensed under the [[terms of the]] GNU General Public License [[(GPL)]] [[,]] version {version}"),
+        (
+            label,
+            f"""is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+            published by the Free Software Foundation, [[either]] version {version} of the License [[, or (at your option) any
+            later version]]. {{{{6}}}} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+            the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
+            more details.""",
+        ),
+        (
+            label,
+            f"""is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License
+            version {version} as published by the Free Software Foundation. {{{{6}}}} is distributed in the hope that it will be
+            useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+            PURPOSE. See the GNU General Public License for more details.""",
+        ),
+    ]
+
+
+#: Labels with templates. Each begins with two mandatory words. License texts and headers have all of their mandatory
+#: wording; notices of one line are whole statements by themselves.
 TEMPLATES = [
     ("mit", "released under the [[terms of the]] MIT License"),
     ("mit", "licensed under the [[terms of the]] MIT License"),
@@ -48,22 +78,58 @@ TEMPLATES = [
         OTHER DEALINGS IN THE SOFTWARE.""",
     ),
     ("apache-2", 'licensed under the Apache License, Version 2.0 [[(the "License")]]'),
+    (
+        "apache-2",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use {{4}} except in compliance with the
+        License. You may obtain a copy of the License at [[http://www.apache.org/licenses/LICENSE-2.0]]
+        [[https://www.apache.org/licenses/LICENSE-2.0]] Unless required by applicable law or agreed to in writing, software
+        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either
+        express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
     ("cc-by-nc", "licensed under [[a]] [[the]] [[Creative Commons]] CC BY-NC [[{{2}} International]]"),
-    ("cc-by-nc", "licensed under [[a]] [[the]] Creative Commons Attribution-NonCommercial [[4.0]] [[International]] License"),
-    ("cc-by", "licensed under [[a]] [[the]] Creative Commons Attribution [[4.0]] [[International]] License"),
-    ("gpl-3", "licensed under the [[terms of the]] GNU General Public License [[(GPL)]] [[,]] version 3"),
-    ("gpl-2", "licensed under the [[terms of the]] GNU General Public License [[(GPL)]] [[,]] version 2"),
+    *_creative_commons("cc-by-nc", "Attribution-NonCommercial"),
+    *_creative_commons("cc-by", "Attribution"),
+    *_gpl("gpl-3", "3"),
+    *_gpl("gpl-2", "2"),
     (
         "isc",
         """Permission to use, copy, modify, and [[/or]] distribute this software for any purpose with or without fee is
-        hereby granted, provided that the above copyright notice and this permission notice appear in all copies""",
+        hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE
+        SOFTWARE IS PROVIDED "AS IS" AND {{12}} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {{12}} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
     ),
     (
         "bsd",
         """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
-        the following conditions are met""",
+        the following conditions are met: [[1.]] [[a)]] Redistributions of source code must retain the above copyright
+        notice, this list of conditions and the following disclaimer. [[2.]] [[b)]] Redistributions in binary form must
+        reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+        and/or other materials provided with the distribution. [[3.]] [[c)]] [[Neither the name of {{12}} nor the names of
+        {{4}} may be used to endorse or promote products derived from this software without specific prior written
+        permission.]] THIS SOFTWARE IS PROVIDED BY {{12}} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+        LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+        EVENT SHALL {{12}} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+        (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+        BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+        (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+        POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author
+        or authors of this software dedicate any and all copyright interest in the software to the public domain. We make
+        this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend
+        this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software
+        under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+        BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+        EVENT SHALL {{12}} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+        OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     ),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 
 SCANNED = T.StructType(

@@ -1,3 +1,5 @@
+import re
+
 import pyarrow as pa
 import pytest
 from llm_helpers import words
@@ -48,3 +50,46 @@ def test_all_columns_stay(spark):
     docs = spark.createDataFrame([(1, "under the MIT license", 5), (2, None, None)], "doc_id long, text string, labels int")
     out = L.scanned(docs)
     assert [(r[0], r[2], r[3]["labels"]) for r in out.collect()] == [(1, 5, ["mit"]), (2, None, [])]
+
+
+def wording(label, opening):
+    (template,) = [t for x, t in L.TEMPLATES if x == label and t.startswith(opening) and len(L.tokens(t)) > 40]
+    text = re.sub(r"\{\{\d+\}\}", "the Regents", template)
+    return re.sub(r"\[\[.*?\]\]", "", text, flags=re.S), text.replace("[[", "").replace("]]", "")
+
+
+@pytest.mark.parametrize(
+    ("label", "opening", "mandatory", "altered"),
+    [
+        ("bsd", "Redistribution", "must retain", "need not retain"),
+        ("bsd", "Redistribution", "SUBSTITUTE GOODS", "GOODS"),
+        ("isc", "Permission to use", "ALL IMPLIED WARRANTIES", "SOME WARRANTIES"),
+        ("unlicense", "This is free", "dedicate any and all", "keep all"),
+        ("apache-2", "Licensed under", "WITHOUT WARRANTIES", "WITH WARRANTIES"),
+        ("gpl-3", "is free software:", "WITHOUT ANY WARRANTY", "WITH A WARRANTY"),
+        ("gpl-2", "is free software;", "published by the Free Software Foundation", "published by the vendor"),
+    ],
+)
+def test_altered_licenses_are_refused(label, opening, mandatory, altered):
+    short, long = wording(label, opening)
+    assert mandatory in long
+    templates = [(x, t) for x, t in L.TEMPLATES if len(L.tokens(t)) > 40]
+    good = [short, long, f"Copyright 2001 the Regents\n{long}\nint main"]
+    first = " ".join(long.split()[:20])
+    assert [(x["labels"], x["score"]) for x in scan(good, templates)] == [([label], 1.0)] * 3
+    refused = scan([long.replace(mandatory, altered), first], templates)
+    # a phrase in them has its label still
+    assert [(x["matches"], x["labels"], x["score"]) for x in refused] == [([], x["base_labels"], 0.5 if x["n_base"] else 0.0) for x in refused]
+
+
+def test_openings_are_no_license():
+    openssl = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions
+    and the following disclaimer. 3. All advertising materials mentioning features or use of this software must display the following"""
+    assert [x["score"] for x in scan([openssl, "This is free and unencumbered software released into the public domain", L.TEMPLATES[2][1][:200]])] == [0.0] * 3
+
+
+def test_creative_commons_versions():
+    under = "licensed under a Creative Commons Attribution"
+    assert [x["labels"] for x in scan([f"{under} 3.0 Unported License", f"{under} 2.5 License", f"{under} 4.0 International License", f"{under} License"])] == [["cc-by"]] * 4
+    assert [x["labels"] for x in scan([f"{under}-NonCommercial 3.0 United States License", f"{under}-ShareAlike 3.0 Unported License"])] == [["cc-by-nc"], []]

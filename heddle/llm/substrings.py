@@ -11,11 +11,12 @@ mostly share one. Windows in a row with one anchor make a segment.
    occurrence, and once in a slice of texts with its words. Segments of the few
    hottest anchors are entered window by window, under the window's own hash, so
    that no anchor gathers an unbounded group.
-3. Segments are dealt to shards by their key. A shard confirms the phrases that
-   recur in two documents: the whole segment where an anchor has only one, else
-   its windows. They are compiled to Aho-Corasick automata of bounded size, and
-   all segments of the shard's anchors are streamed through, which yields for each
-   window the least document that holds its words. Words are compared byte by byte.
+3. Segments are dealt to shards by their key. A shard groups the windows of its
+   segments by hash, with all words compared byte by byte, which finds the windows
+   that recur in two documents and the least document that holds each. Their runs
+   are compiled to Aho-Corasick automata of bounded size. Only segments with such
+   windows are streamed, each through the automaton of its own runs, which gives
+   each window's least holder again; other segments have nothing to be found.
 4. Occurrences get their segment's result by a join that can split hot keys, and
    words in windows that a lesser document holds are removed.
 

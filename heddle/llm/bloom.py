@@ -58,10 +58,10 @@ def _parts(power: int):
     return X.lean(run)
 
 
-def of(hashes: DataFrame, column: str) -> Bloom:
+def of(hashes: DataFrame, column: str, most_bits: int = MOST_BITS) -> Bloom:
     """The filter of a column of 64-bit hashes without nulls, counted first."""
     n = hashes.count()
-    power = min(max(LEAST_BITS, (BITS_EACH * max(n, 1) - 1).bit_length()), MOST_BITS)
+    power = min(max(min(LEAST_BITS, most_bits), (BITS_EACH * max(n, 1) - 1).bit_length()), most_bits)
     bits = np.zeros(1 << (power - 3), np.uint8)
     each = 1 << (power - 3 - _RANGES)
     parts = hashes.select(F.col(column).alias("h")).repartitionByRange("h")

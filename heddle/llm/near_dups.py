@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from . import textcore as X
-from .store import let_go, written
+from .store import dropped, written
 
 GRAM, THRESHOLD = 5, 0.8
 #: The chance that a pair right at the threshold is a candidate, and the hashes that may be spent.
@@ -272,7 +272,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = tied(both, "large")
-        now = written(tied(large.where("v < u"), "small"), "edges")
+        now, last = written(tied(large.where("v < u"), "small"), "edges"), now
+        dropped(last)
         after = mark(now)
         if after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -300,7 +301,8 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     held = classes.select("class", "grams", F.posexplode("bands").alias("band", "bucket"))
     shared = written(held.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("grams").alias("weight")).where("n > 1"), "buckets")
     live = written(held.select("class", "band", "bucket").join(shared.hint("merge"), "bucket"), "live")
-    let_go(spark)
+    dropped(shared)
+
     even = [(F.min(F.get("bands", F.lit(k))) == F.max(F.get("bands", F.lit(k)))).alias(f"e{k}") for k in range(bands)]
     alike = live.join(classes.select("class", "bands").hint("merge"), "class").groupBy("bucket", "band", "n", "weight").agg(*even)
     # a bucket counts unless all its classes share an earlier band
@@ -309,27 +311,31 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     own = alike.where(~F.exists(F.slice(earlier, F.lit(1), F.col("band")), lambda x: x)).select("bucket", blocks.alias("blocks"))
     cells = live.select("class", "band", "bucket").join(own.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     cells = written(cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("class", "bucket", "band", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")), "cells")
+    dropped(live)
 
     wanted = cells.select("class").distinct().join(classes.select("class", "copies", "bands", "rep").hint("merge"), "class")
     wanted = written(wanted.select("class", "copies", "bands", F.col("rep.doc_id").alias("d"), F.col("rep.text_key").alias("k")), "wanted")
-    let_go(spark)
     sent = spark.sparkContext.broadcast(bloom.of(wanted.select("k").mapInArrow(_hashes, "h long"), "h"))
     sets = keyed.mapInArrow(_sets(sent), f"doc_id {kind}, text_key long, set binary")
     sets = sets.join(wanted.hint("merge"), (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
     # repeated documents give the same set again
     sets = written(sets.select("class", "copies", "bands", "set").dropDuplicates(["class"]), "sets")
-    let_go(spark)
+    dropped(wanted)
+
     pairs = cells.join(sets.hint("merge"), "class").select("bucket", "lo", "hi", "band", "block", "class", "copies", "bands", "set")
     pairs = pairs.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     links = written(pairs.mapInArrow(_verifier(threshold), "class long, links long, root long"), "links")
+    dropped(cells)
+    dropped(sets)
 
-    let_go(spark)
     groups = components(links.select(F.col("class").alias("u"), F.col("root").alias("v")))
     counted = links.groupBy("class").agg(F.sum("links").alias("links"))
     all_ = classes.join(counted, "class", "left").join(groups.withColumnRenamed("node", "class"), "class", "left")
     all_ = all_.select("one", "two", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "class").alias("root"))
     named = all_.groupBy("root").agg(F.min("rep").alias("name"))
     all_ = written(all_.join(named, "root").select("one", "two", "rep", "n_links", "name"), "groups")
+    for table in (links, classes):
+        dropped(table)
 
     same = signed.groupBy("doc_id", "text_key").agg(F.count("*").alias("same")).where("same > 1")
     out = signed.where("grams > 0").select("doc_id", "text_key", "one", "two").join(all_, ["one", "two"])

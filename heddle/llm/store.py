@@ -1,23 +1,5 @@
 """Tables cut from their lineage, in the folder that all executors share."""
 
-from __future__ import annotations
+from heddle.sources.shared import cleared, dropped, shared_dir, written
 
-import gc
-import time
-
-from pyspark.sql import SparkSession
-
-from heddle.sources.shared import shared_dir, written
-
-__all__ = ["let_go", "shared_dir", "written"]
-
-
-def let_go(spark: SparkSession) -> None:
-    """Have Spark remove the shuffle files of tables that nothing refers to any more; call it once the next table is written.
-
-    What tells of a query's end refers to its plan for a moment longer, hence the second round.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+__all__ = ["cleared", "dropped", "shared_dir", "written"]

@@ -7,31 +7,39 @@ mostly share one. Windows in a row with one anchor make a segment.
 1. Anchors are counted over the corpus, summed in each task first; those in two
    documents or more recur. They are sent to the executors as a Bloom filter of
    bounded size, whose false positives cost work but change nothing.
-2. Documents are read again. Each segment whose anchor may recur is entered as an
-   occurrence, and once in a slice of texts with its words. Segments of the few
-   hottest anchors are entered window by window, under the window's own hash, so
-   that no anchor gathers an unbounded group.
-3. Segments are dealt to shards by their key. A shard groups the windows of its
-   segments by hash, with all words compared byte by byte, which finds the windows
-   that recur in two documents and the least document that holds each. Their runs
-   are compiled to Aho-Corasick automata of bounded size. Only segments with such
-   windows are streamed, each through the automaton of its own runs, which gives
-   each window's least holder again; other segments have nothing to be found.
-4. Occurrences get their segment's result by a join that can split hot keys, and
-   words in windows that a lesser document holds are removed.
+2. Documents are read again. Each segment whose anchor may recur is entered once
+   for each block of documents that holds it, and once in a task with its words.
+   Segments of hot anchors (``Limits.hot`` segments or more, told by a second Bloom
+   filter) are entered window by window, under the window's own hash, so that no
+   anchor gathers an unbounded group.
+3. Recurring passages are confirmed: windows of a key are grouped by hash, with all
+   words compared byte by byte, which tells the windows that recur in two documents
+   and the least document that holds each. Their longest runs are the phrases.
+4. Phrases are sent to the blocks that may lose words by them, by a join that can
+   split hot keys. A block's phrases are compiled to an Aho-Corasick automaton, or
+   to several of bounded size, and all documents of the block are streamed whole
+   through it. It alone locates the occurrences: a document loses the words of
+   every phrase found in it that a lesser document holds.
 
 Words are the runs of ``[^\\x20\\x09-\\x0D]``, unchanged.
 
+A filter that is full, as by over some 10^9 recurring anchors, lets all segments
+through, which costs a shuffle of a few times the corpus and is still linear in it.
+
 Defined results: a null or wordless text has no words; a text of under 13 words
-loses none; documents of a null id lose nothing and take nothing from others;
-documents of one id take nothing from each other, as neither id is less; an empty
-table gives no rows. Only the two named columns are looked at. Ids are integers.
+loses none; very long texts are streamed whole, so a task's memory follows its
+longest text, some thirty bytes for each of its bytes; documents of a null id lose
+nothing and take nothing from others; documents of one id take nothing from each
+other, as neither id is less; repeated rows have a row each; an empty table gives
+no rows. Only the two named columns are looked at, so other columns' names can't
+clash. Ids are integers.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -41,16 +49,29 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from . import textcore as X
-from .store import let_go, written
+from .store import dropped, written
 
 WINDOW, ANCHOR = 13, 5
-#: Anchors that are entered window by window, at most, and how often each is at least.
-MOST_HOT, LEAST_HOT = 50_000, 2_000
-#: Words of the phrases of an automaton, which stays in a processor's cache, and bytes of segments that are confirmed at once.
-AUTOMATON_WORDS, SHARD_BYTES = 15_000, 8 << 20
-#: Anchors, and bytes of segments, that a task sums up before it hands them on.
-SUMMED, MERGED_BYTES = 1_500_000, 24 << 20
-_NEVER = np.iinfo(np.int64).max
+#: Letters of the automata: a word's number is written in digits of this base, as an automaton's step takes as long as its node has edges.
+DIGITS = 256
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How much is done at once. No result depends on it."""
+
+    #: Segments of an anchor from which on they are entered window by window, and the Bloom filters' size as a power of two.
+    hot: int = 2_000
+    most_bits: int = bloom.MOST_BITS
+    #: Bytes of the texts of a block of documents, and words of the phrases of an automaton.
+    block_bytes: int = 1 << 20
+    automaton_words: int = 400_000
+    #: Anchors, and bytes of segments, that a task sums up before it hands them on; bytes of segments that are confirmed at once.
+    summed: int = 1_500_000
+    merged_bytes: int = 24 << 20
+    shard_bytes: int = 8 << 20
+
+
 _U = np.uint64
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_2 = np.uint64(0xC2B2AE3D27D4EB4F | 1)
@@ -104,38 +125,47 @@ def _summed(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
     return h[at], np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at), np.diff(np.append(at, len(h)))
 
 
-@X.lean
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+def _anchors(summed: int):
+    """Of ids and texts: sums by anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def done() -> pa.RecordBatch:
+            columns = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["h", "lo", "hi", "n"])
 
-    def done() -> pa.RecordBatch:
-        columns = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["h", "lo", "hi", "n"])
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for a, _, texts in X.slices(batch.column(1)):
+                w = X.words(texts, X.SPACED_WORDS)
+                h, start, _ = segments(w, X.hashes(w))
+                held.append((h, ids[a + w.owners()[start]] if len(start) else np.zeros(0, np.int64)))
+                size += len(h)
+                if size >= summed:
+                    yield done()
+                    held, size = [], 0
+        if size:
+            yield done()
 
-    for batch in batches:
-        ids = batch.column(0).to_numpy()
-        for a, _, texts in X.slices(batch.column(1)):
-            w = X.words(texts, X.SPACED_WORDS)
-            h, start, _ = segments(w, X.hashes(w))
-            held.append((h, ids[a + w.owners()[start]] if len(start) else np.zeros(0, np.int64)))
-            size += len(h)
-            if size >= SUMMED:
-                yield done()
-                held, size = [], 0
-    if size:
-        yield done()
+    return X.lean(run)
 
 
-# ---- 2: occurrences and phrases
+# ---- 2: segments
 
-_FOUND = "kind byte, doc long, row long, key long, seg long, pos int, lo long, hi long, n_words long, sha string, text binary"
-_NAMES = ["kind", "doc", "row", "key", "seg", "pos", "lo", "hi", "n_words", "sha", "text"]
-_KINDS = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+_FOUND = "block long, key long, seg long, lo long, hi long, text binary, kind byte"
+_NAMES = ["block", "key", "seg", "lo", "hi", "text", "kind"]
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int8()]
+#: Kinds of rows: a segment in a block, and a segment with its words.
+_PLACE, _WORDING = 1, 2
 
 
-def _batch(n: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(n, t) for c, t in zip(_NAMES, _KINDS, strict=True)], names=_NAMES)
+def _batch(kind: int, **columns) -> pa.RecordBatch:
+    n = len(columns["key"])
+    columns["kind"] = np.full(n, kind, np.int8)
+    arrays = [pa.array(columns[c].view(np.int64) if getattr(columns[c], "dtype", None) == _U else columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(_NAMES, _KINDS, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
 
 
 def _raw(w: X.Words, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -143,8 +173,18 @@ def _raw(w: X.Words, start: np.ndarray, size: np.ndarray) -> pa.Array:
     a, b = w.start[start], w.end[start + size - 1]
     ends = np.cumsum(b - a)
     at = np.repeat(a - (ends - (b - a)), b - a) + np.arange(int(ends[-1]) if len(ends) else 0)
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(w.data[at])])
+    offsets = np.concatenate([[0], ends])
+    large = pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(w.data[at])])
+    return large.cast(pa.binary())
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
 def _merged(key: np.ndarray, seg: np.ndarray, lo: np.ndarray, hi: np.ndarray, text: pa.Array, ordered: bool) -> tuple:
@@ -152,61 +192,58 @@ def _merged(key: np.ndarray, seg: np.ndarray, lo: np.ndarray, hi: np.ndarray, te
     if not ordered:
         by = np.lexsort((seg, key))
         key, seg, lo, hi, text = key[by], seg[by], lo[by], hi[by], text.take(pa.array(by))
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])
-    if new.all():
+    at = _runs(key, seg)
+    if len(at) == len(key):
         return key, seg, lo, hi, text
-    at = np.flatnonzero(new)
     return key[at], seg[at], np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), text.take(pa.array(at))
 
 
-def _phrases(held: list[tuple]) -> pa.RecordBatch:
+def _wordings(held: list[tuple]) -> pa.RecordBatch:
     key, seg, lo, hi = (np.concatenate([x[k] for x in held]) for k in range(4))
     key, seg, lo, hi, text = _merged(key, seg, lo, hi, pa.concat_arrays([x[4] for x in held]), ordered=False)
-    return _batch(len(key), kind=pa.array(np.full(len(key), 2, np.int8)), key=pa.array(key.view(np.int64)), seg=pa.array(seg.view(np.int64)), lo=pa.array(lo), hi=pa.array(hi), text=text)
+    return _batch(_WORDING, key=key, seg=seg, lo=lo, hi=hi, text=text)
+
 
+def _finder(sent, merged_bytes: int):
+    """Of ids, blocks and texts: rows of both kinds."""
 
-def _finder(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, hot = sent.value
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            null = np.asarray(batch.column(0).is_null())
-            ids, rows = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
-            for a, b, texts in X.slices(batch.column(2)):
+            ids, blocks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, _, texts in X.slices(batch.column(2)):
                 w = X.words(texts, X.SPACED_WORDS)
                 h = X.hashes(w)
-                raw = texts.data.tobytes()
-                shas = [hashlib.sha256(b" ".join(raw[x:y].split())).hexdigest() for x, y in zip(texts.offs.tolist(), texts.offs[1:].tolist(), strict=False)]
-                yield _batch(b - a, kind=pa.array(np.zeros(b - a, np.int8)), doc=batch.column(0).slice(a, b - a), row=pa.array(rows[a:b]), n_words=pa.array(w.counts), sha=pa.array(shas))
                 key, start, n = segments(w, h)
-                owner = a + w.owners()
-                good = seen.may_hold(key) & ~null[owner[start]] if len(key) else np.zeros(0, bool)
+                good = seen.may_hold(key)
                 key, start, n = key[good], start[good], n[good]
                 if not len(key):
                     continue
+                owner = a + w.owners()
                 one, two = Rolling(h, _BASE), Rolling(h, _BASE_2)
-                if len(hot):
+                is_hot = hot.may_hold(key)
+                if is_hot.any():
                     # window by window
-                    at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-                    is_hot = hot[at] == key
                     first = np.repeat(start[is_hot], n[is_hot]) + _counting(n[is_hot])
                     key = np.concatenate([key[~is_hot], one.of(first, np.full(len(first), WINDOW))])
                     start = np.concatenate([start[~is_hot], first])
                     n = np.concatenate([n[~is_hot], np.ones(len(first), np.int64)])
                 seg = two.of(start, n + WINDOW - 1)
-                doc = owner[start]
-                yield _batch(len(key), kind=pa.array(np.ones(len(key), np.int8)), doc=pa.array(ids[doc]), row=pa.array(rows[doc]), key=pa.array(key.view(np.int64)), seg=pa.array(seg.view(np.int64)), pos=pa.array((start - w.first[doc - a]).astype(np.int32)))
+                doc, block = ids[owner[start]], blocks[owner[start]]
+                by = np.lexsort((seg, key, block))
+                at = _runs(block[by], key[by], seg[by])
+                yield _batch(_PLACE, block=block[by[at]], key=key[by[at]], seg=seg[by[at]], hi=np.maximum.reduceat(doc[by], at))
                 # a segment that the texts of one task hold many times is sent on once
-                raw_text = _raw(w, start, n + WINDOW - 1)
-                held.append((key, seg, ids[doc], ids[doc], raw_text))
-                size += raw_text.nbytes
-                if size >= MERGED_BYTES:
-                    yield _phrases(held)
+                raw = _raw(w, start, n + WINDOW - 1)
+                held.append((key, seg, doc, doc, raw))
+                size += raw.nbytes
+                if size >= merged_bytes:
+                    yield _wordings(held)
                     held, size = [], 0
         if held:
-            yield _phrases(held)
+            yield _wordings(held)
 
     return X.lean(run)
 
@@ -217,7 +254,7 @@ def _counting(n: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(n) else 0) - np.repeat(ends - n, n)
 
 
-# ---- 3: automata
+# ---- 3: confirmed passages
 
 
 def _numbers(w: X.Words) -> np.ndarray:
@@ -246,18 +283,16 @@ def _held(ids: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
     raise RuntimeError("windows share hashes under every seed")
 
 
-def least_holders(texts: X.Texts, key: np.ndarray, seg: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-    """For rows sorted by key and segment: each segment's first row, with the least holder of each of its windows.
+def confirmed(texts: X.Texts, key: np.ndarray, seg: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Phrases of rows sorted by key and segment, which hold all segments of their keys.
 
-    The rows hold all segments of their keys. Segments none of whose windows recur are left out. Phrases are the longest
-    runs of a segment's windows that recur in the same least and greatest document.
+    A phrase is the longest run of a segment's windows that recur in the same least and greatest document. Returns the
+    segments with phrases by their first rows, the number of phrases of each, and the phrases' least holders and bytes.
     """
     w = X.words(texts, X.SPACED_WORDS)
     numbers = _numbers(w)
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])
-    rows = np.flatnonzero(fresh)
-    # rows of one segment, out of several slices of texts, become one
+    rows = _runs(key, seg)
+    # rows of one segment, out of several tasks, become one
     lo, hi = np.minimum.reduceat(lo, rows), np.maximum.reduceat(hi, rows)
     n = w.counts[rows] - WINDOW + 1
     of = np.repeat(np.arange(len(rows)), n)
@@ -269,185 +304,188 @@ def least_holders(texts: X.Texts, key: np.ndarray, seg: np.ndarray, lo: np.ndarr
     begin = np.flatnonzero(new)
     # a run ends before the next one, or the next window that doesn't recur
     stop = np.flatnonzero(np.append(new[1:] | ~recurs[1:], True) & recurs)
-    ids = numbers.tolist()
-    first = w.first.tolist()
-    phrases: dict[tuple[int, ...], int] = {}
-    waiting: list[int] = []
-    size, last = 0, -1
-
-    def streamed() -> Iterator[tuple[int, list[int]]]:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        found = list(phrases.items())
-        for i, (phrase, _) in enumerate(found):
-            automaton.add_word(phrase, i)
-        automaton.make_automaton()
-        for row in waiting:
-            words = tuple(ids[first[row] : first[row + 1]])
-            out = [_NEVER] * (len(words) - WINDOW + 1)
-            for end, i in automaton.iter(words):
-                phrase, holder = found[i]
-                for k in range(end - len(phrase) + 1, end - WINDOW + 2):
-                    out[k] = min(out[k], holder)
-            yield row, out
-
-    for a, b, s, holder in zip(start[begin].tolist(), start[stop].tolist(), of[begin].tolist(), least[begin].tolist(), strict=True):
-        if s != last:
-            if size >= AUTOMATON_WORDS:
-                yield from streamed()
-                phrases.clear()
-                waiting.clear()
-                size = 0
-            waiting.append(int(rows[s]))
-            last = s
-        phrase = tuple(ids[a : b + WINDOW])
-        if phrases.setdefault(phrase, holder) != holder:
-            phrases[phrase] = min(phrases[phrase], holder)
-        size += len(phrase)
-    if waiting:
-        yield from streamed()
-
-
-@X.lean
-def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def done(part: pa.Table) -> pa.RecordBatch:
-        part = part.combine_chunks()
-        key, seg, lo, hi = (part.column(c).to_numpy() for c in ("key", "seg", "lo", "hi"))
-        (_, _, texts), *more = X.slices(part.column("text").cast(pa.large_binary()).combine_chunks().view(pa.large_string()), most_bytes=1 << 40)
-        assert not more
-        rows = list(least_holders(texts, key, seg, lo, hi))
-        at = np.array([r for r, _ in rows], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(seg[at]), pa.array([x for _, x in rows], pa.list_(pa.int64()))], names=["key", "seg", "least"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, seg, lo, hi = (batch.column(c).to_numpy() for c in ("key", "seg", "lo", "hi"))
-        key, seg, lo, hi, text = _merged(key, seg, lo, hi, batch.column("text"), ordered=True)
-        batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg), pa.array(lo), pa.array(hi), text], names=["key", "seg", "lo", "hi", "text"])
-        held.append(batch)
-        size += batch.nbytes
-        if size >= SHARD_BYTES:
-            whole = pa.Table.from_batches(held)
-            keys = whole.column("key").to_numpy()
-            # up to the last key, of which more may come
-            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
-            if cut:
-                yield done(whole.slice(0, cut))
-            held, size = whole.slice(cut).combine_chunks().to_batches(), 0
-    if held and any(x.num_rows for x in held):
-        yield done(pa.Table.from_batches(held))
-
-
-# ---- 4: removal
-
-
-def _picked(sent):
-    """The documents that may lose words."""
+    at = _runs(of[begin])
+    return rows[of[begin[at]]], np.diff(np.append(at, len(begin))), least[begin], _raw(w, start[begin], start[stop] - start[begin] + WINDOW)
+
+
+def _confirmer(shard_bytes: int):
+    """Of segments sorted by key: their phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = sent.value
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def done(part: pa.Table) -> pa.RecordBatch:
+            part = part.combine_chunks()
+            key, seg, lo, hi = (part.column(c).to_numpy() for c in ("key", "seg", "lo", "hi"))
+            (_, _, texts), *more = X.slices(part.column("text").cast(pa.large_binary()).combine_chunks().view(pa.large_string()), most_bytes=1 << 40)
+            assert not more
+            at, n, least, text = confirmed(texts, key, seg, lo, hi)
+            phrases = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.StructArray.from_arrays([pa.array(least), text], ["least", "text"]))
+            return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(seg[at]), phrases], names=["key", "seg", "phrases"])
+
         for batch in batches:
-            yield batch.filter(pa.array(wanted.may_hold(batch.column(3).to_numpy().view(_U)))).select(["doc", "row", "text"])
+            if not batch.num_rows:
+                continue
+            key, seg, lo, hi = (batch.column(c).to_numpy() for c in ("key", "seg", "lo", "hi"))
+            key, seg, lo, hi, text = _merged(key, seg, lo, hi, batch.column("text"), ordered=True)
+            batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg), pa.array(lo), pa.array(hi), text], names=["key", "seg", "lo", "hi", "text"])
+            held.append(batch)
+            size += batch.nbytes
+            if size >= shard_bytes:
+                whole = pa.Table.from_batches(held)
+                keys = whole.column("key").to_numpy()
+                # up to the last key, of which more may come
+                cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+                if cut:
+                    yield done(whole.slice(0, cut))
+                held, size = whole.slice(cut).combine_chunks().to_batches(), 0
+        if held and any(x.num_rows for x in held):
+            yield done(pa.Table.from_batches(held))
 
     return X.lean(run)
 
 
-def _remover(texts_too: bool):
+# ---- 4: automata
+
+
+class Phrases:
+    """Phrases compiled to Aho-Corasick automata. Letters are the digits of the words' numbers, 0 being any other word."""
+
+    def __init__(self, texts: X.Texts, least: np.ndarray, most_words: int):
+        w = X.words(texts, X.SPACED_WORDS)
+        for self.seed in range(64):
+            h = X.hashes(w, self.seed)
+            self.vocabulary, example, number = np.unique(h, return_index=True, return_inverse=True)
+            if X.same_words(w, np.arange(len(h)), w, example[number]):
+                break
+        else:
+            raise RuntimeError("words share hashes under every seed")
+        self.words, self.example = w, example
+        self.n_digits = 1
+        while DIGITS**self.n_digits <= len(self.vocabulary):
+            self.n_digits += 1
+        letters = self._letters(number + 1)
+        self.automata: list[tuple[ahocorasick.Automaton, np.ndarray, np.ndarray]] = []
+        sizes, first, at = w.counts, (w.first * self.n_digits).tolist(), 0
+        ends = np.cumsum(sizes)
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_words, side="right")))
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            for i in range(at, to):
+                # equal phrases have the same least holder
+                automaton.add_word(tuple(letters[first[i] : first[i + 1]]), i)
+            automaton.make_automaton()
+            self.automata.append(automaton)
+            at = to
+        self.sizes, self.least = sizes, least
+
+    def _letters(self, numbers: np.ndarray) -> list[int]:
+        k = self.n_digits
+        out = np.empty((len(numbers), k), np.int64)
+        for j in range(k):
+            out[:, j] = numbers // DIGITS ** (k - 1 - j) % DIGITS + j * DIGITS
+        return out.reshape(-1).tolist()
+
+    def located(self, w: X.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All occurrences in the texts of w: first words, numbers of words, and least holders."""
+        h = X.hashes(w, self.seed)
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        known = np.flatnonzero(self.vocabulary[at] == h)
+        known = known[X.alike(w, known, self.words, self.example[at[known]])]
+        numbers = np.zeros(len(h), np.int64)
+        numbers[known] = at[known] + 1
+        # another word between two texts, so that no phrase goes across
+        cuts = w.first[1:-1]
+        back = np.insert(np.arange(len(h)), cuts, -1)
+        stream = tuple(self._letters(np.insert(numbers, cuts, 0)))
+        found = [np.array(list(a.iter(stream)), np.int64).reshape(-1, 2) for a in self.automata]
+        end, phrase = np.concatenate(found).T
+        size = self.sizes[phrase]
+        return back[end // self.n_digits] - size + 1, size, self.least[phrase]
+
+
+_OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:bigint,end:bigint>>, kept string"
+_PIECES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _removed(phrases: Phrases | None, ids: pa.Array, values: pa.Array, keep_text: bool) -> Iterator[pa.RecordBatch]:
+    """A block's documents, all streamed through its automata."""
+    null, doc = np.asarray(ids.is_null()), ids.fill_null(0).to_numpy()
+    for a, b, texts in X.slices(values):
+        w = X.words(texts, X.SPACED_WORDS)
+        gone = np.zeros(len(w.start), bool)
+        if phrases is not None:
+            start, size, least = phrases.located(w)
+            owner = a + w.owners()
+            less = ~null[owner[start]] & (least < doc[owner[start]])
+            edge = np.zeros(len(gone) + 1, np.int64)
+            np.add.at(edge, start[less], 1)
+            np.add.at(edge, start[less] + size[less], -1)
+            gone = np.cumsum(edge)[:-1] > 0
+        n_removed = X.sums(gone, w.first)
+        raw, out = texts.data.tobytes(), []
+        for i, (x, y) in enumerate(zip(texts.offs.tolist(), texts.offs[1:].tolist(), strict=False)):
+            words, pieces = raw[x:y].split(), []
+            if n_removed[i]:
+                own = gone[w.first[i] : w.first[i + 1]]
+                words = [word for word, g in zip(words, own.tolist(), strict=True) if not g]
+                pieces = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]]))).reshape(-1, 2).tolist()
+            kept = b" ".join(words)
+            out.append((hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in pieces], kept.decode() if keep_text else None))
+        sha, pieces, kept = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(w.counts), pa.array(n_removed), pa.array(sha), pa.array(pieces, _PIECES), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "removed", "kept"])
+
+
+def _streamer(keep_text: bool, automaton_words: int):
+    """Of rows sorted by ``at``, which is even for a block's phrases and odd for its documents: a row for each document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, text, starts = None, None, []
-        out: list[tuple] = []
-
-        def done() -> None:
-            words = text.encode().split()
-            gone = np.zeros(len(words) + 1, np.int64)
-            at = np.concatenate(starts)
-            np.add.at(gone, at, 1)
-            np.add.at(gone, at + WINDOW, -1)
-            gone = np.cumsum(gone)[:-1] > 0
-            kept = b" ".join(x for x, g in zip(words, gone.tolist(), strict=True) if not g)
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
-            out.append((*now, int(gone.sum()), hashlib.sha256(kept).hexdigest(), [{"start": int(a), "end": int(b)} for a, b in edge], kept.decode() if texts_too else None))
-
-        def flushed() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            out.clear()
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["doc", "row", "n_removed", "sha", "removed", "kept"])
-
-        # rows of a document: its text, more than once if it is repeated, then its occurrences
+        block, held, phrases = None, [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            doc, rows, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            pos, lists = batch.column(3).fill_null(0).to_numpy(), batch.column(4)
-            sizes = np.where(np.asarray(lists.is_null()), 0, np.diff(lists.offsets.to_numpy()))
-            flat = lists.flatten().to_numpy()
-            of = np.repeat(np.arange(len(rows)), sizes)
-            less = flat < doc[of]
-            at, of = (pos[of] + _counting(sizes))[less].astype(np.int64), of[less]
-            edges = [0, *(np.flatnonzero((rows[1:] != rows[:-1]) | (doc[1:] != doc[:-1])) + 1).tolist(), len(rows)]
+            at = batch.column(0).to_numpy()
+            edges = [*_runs(at).tolist(), len(at)] if len(at) else []
             for a, b in zip(edges, edges[1:], strict=False):
-                this = int(doc[a]), int(rows[a])
-                if this != now:
-                    if now is not None and text is not None:
-                        done()
-                    now, text, starts = this, None, []
-                if text is None:
-                    text = texts[a].as_py()
-                lo, hi = np.searchsorted(of, [a, b])
-                starts.append(at[lo:hi])
-            if len(out) >= 500:
-                yield flushed()
-        if now is not None and text is not None:
-            done()
-        yield flushed()
+                part = batch.slice(a, b - a)
+                if at[a] >> 1 != block:
+                    block, held, phrases = at[a] >> 1, [], None
+                if not at[a] & 1:
+                    held.append(part)
+                    continue
+                if held:
+                    whole = pa.Table.from_batches(held).combine_chunks()
+                    ((_, _, texts),) = X.slices(whole.column("text").cast(pa.large_string()).combine_chunks(), most_bytes=1 << 40)
+                    phrases, held = Phrases(texts, whole.column("doc").to_numpy(), automaton_words), []
+                yield from _removed(phrases, part.column(1), part.column(2), keep_text)
 
     return X.lean(run)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """A row for each document: ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256``, ``removed`` (runs of removed
     words as start and end) and, if ``keep_text``, ``kept``, the kept words joined by one space."""
     spark = docs.sparkSession
-    # an id and a hash of the text tell rows apart; repeated documents have the same result
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
-    anchors = docs.where("doc is not null").select("doc", "text").mapInArrow(_anchors, "h long, lo long, hi long, n long")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    known = docs.where("doc is not null")
+    anchors = known.mapInArrow(_anchors(limits.summed), "h long, lo long, hi long, n long")
     recurring = anchors.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).where("lo < hi").select("h", "n")
     recurring = written(recurring, "anchors")
-    let_go(spark)
-    hot = recurring.where(F.col("n") >= LEAST_HOT).orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()
-    hot_keys = np.sort(np.array([r.h for r in hot], np.int64).view(_U))
-    sent = spark.sparkContext.broadcast((bloom.of(recurring, "h"), hot_keys))
+    sent = spark.sparkContext.broadcast((bloom.of(recurring, "h", limits.most_bits), bloom.of(recurring.where(F.col("n") >= limits.hot), "h", limits.most_bits)))
+    dropped(recurring)
 
-    found = written(docs.mapInArrow(_finder(sent), _FOUND), "segments")
-    let_go(spark)
-    phrases = found.where("kind = 2").select("key", "seg", "lo", "hi", "text").repartition("key").sortWithinPartitions("key", "seg")
-    least = written(phrases.mapInArrow(_shard, "key long, seg long, least array<bigint>"), "holders")
-    let_go(spark)
+    # blocks are by id and text, so that neither null ids nor copies gather in one
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    block = F.pmod(F.xxhash64("doc", "text"), F.lit(total // limits.block_bytes + 1))
+    found = written(known.select("doc", block.alias("block"), "text").mapInArrow(_finder(sent, limits.merged_bytes), _FOUND), "segments", by="kind")
+    wordings = found.where(F.col("kind") == _WORDING).select("key", "seg", "lo", "hi", "text").repartition("key").sortWithinPartitions("key", "seg")
+    phrases = written(wordings.mapInArrow(_confirmer(limits.shard_bytes), "key long, seg long, phrases array<struct<least:bigint,text:binary>>"), "phrases")
+    dropped(found, f"kind={_WORDING}")
 
     # both sides grow with the corpus, and so are merged and never broadcast
-    places = found.where("kind = 1").select("doc", "row", "key", "seg", "pos").join(least.hint("merge"), ["key", "seg"]).where(F.exists("least", lambda x: x < F.col("doc")))
-    places = written(places.select("doc", "row", "pos", "least"), "places")
-    let_go(spark)
-    texts = docs.select("doc", "row", "text", F.xxhash64("doc", "row").alias("h"))
-    if keep_text:
-        texts = texts.where("doc is not null").select("doc", "row", "text")
-    else:
-        wanted = spark.sparkContext.broadcast(bloom.of(places.select(F.xxhash64("doc", "row").alias("h")).distinct(), "h"))
-        texts = texts.where("doc is not null").mapInArrow(_picked(wanted), "doc long, row long, text string")
-    both = texts.select("doc", "row", "text", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("array<bigint>").alias("least")).union(places.select("doc", "row", F.lit(None).cast("string").alias("text"), "pos", "least"))
-    both = both.repartition("doc", "row").sortWithinPartitions("doc", "row", F.col("pos").asc_nulls_first())
-    cut = both.mapInArrow(_remover(keep_text), "doc long, row long, n_removed long, sha string, removed array<struct<start:bigint,end:bigint>>, kept string")
-    base = found.where("kind = 0").select("doc", "row", "n_words", F.col("sha").alias("whole"))
-    out = base.join(cut, ["doc", "row"], "left")
-    columns = [F.col("doc").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "whole").alias("kept_sha256"), F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("removed")]
-    if not keep_text:
-        return out.select(*columns)
-    # documents without an id keep their words
-    alone = docs.where("doc is null").select("row", F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda x: x != ""), " ").alias("whole_text")).dropDuplicates(["row"])
-    out = out.join(alone, (F.col("doc").isNull()) & (out["row"] == alone["row"]), "left")
-    return out.select(*columns, F.coalesce("kept", "whole_text").alias("kept"))
+    places = found.where(F.col("kind") == _PLACE).select("block", "key", "seg", "hi")
+    sent_on = places.join(phrases.hint("merge"), ["key", "seg"]).select("block", F.explode(F.filter("phrases", lambda p: p.least < F.col("hi"))).alias("p"))
+    sent_on = sent_on.select((F.col("block") * 2).alias("at"), F.col("p.least").alias("doc"), F.col("p.text").cast("string").alias("text"))
+    both = sent_on.union(docs.select((block * 2 + 1).alias("at"), "doc", "text"))
+    both = both.repartition((F.col("at") / 2).cast("long")).sortWithinPartitions("at")
+    out = both.mapInArrow(_streamer(keep_text, limits.automaton_words), _OUT)
+    return out if keep_text else out.drop("kept")

@@ -166,6 +166,20 @@ def same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> bool:
     return True
 
 
+def alike(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """For every k, whether word ``i[k]`` of a has the bytes of word ``j[k]`` of b."""
+    size = a.end[i] - a.start[i]
+    out = size == b.end[j] - b.start[j]
+    x, y, at, left = loads(a.data), loads(b.data), 0, np.flatnonzero(out)
+    while len(left):
+        keep = _KEEP[np.minimum(size[left] - at, 8)]
+        same = (x[a.start[i[left]] + at] ^ y[b.start[j[left]] + at]) & keep == 0
+        out[left[~same]] = False
+        at += 8
+        left = left[same & (size[left] > at)]
+    return out
+
+
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive word hashes, ignoring where texts end; shorter than h by n - 1."""
     if len(h) < n:

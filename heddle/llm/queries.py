@@ -47,7 +47,7 @@ def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in each document, by pattern and by who else holds them."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    rows, found = _credentials.scanned(docs, repository=F.concat_ws("/", "source", "lang"), keep_text=False)
+    rows, found = _credentials.scanned(docs, repository=F.struct("source", "lang"), keep_text=False)
     spans = F.col(f"{found}.spans")
     base = F.filter(spans, lambda s: s.kind < _credentials.BASE)
 
@@ -140,7 +140,7 @@ def _secret_sql() -> str:
         x AS (SELECT doc_id, source, lang, kind, s[i] AS s, length(m[i]) AS n,
                      list_sum(list_transform(p[1 : i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda z: length(z))), 0) AS a FROM u),
         g AS (SELECT *, a + n AS b FROM x WHERE kind < 3 OR (regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Z]') AND regexp_matches(s, '[a-z]'))),
-        e AS (SELECT s FROM g GROUP BY s HAVING count(DISTINCT source) >= {c.EXAMPLE_OWNERS} OR count(DISTINCT concat_ws('/', source, lang)) >= {c.EXAMPLE_REPOSITORIES}),
+        e AS (SELECT s FROM g GROUP BY s HAVING count(DISTINCT source) >= {c.EXAMPLE_OWNERS} OR count(DISTINCT (source, lang)) FILTER (source IS NOT NULL) >= {c.EXAMPLE_REPOSITORIES}),
         k AS (SELECT g.*, e.s IS NOT NULL AS copied, {name} || ':' || a || ':' || b AS span FROM g LEFT JOIN e USING (s) WHERE kind < 3 OR e.s IS NULL),
         r AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, count(*) FILTER (NOT copied) AS n_live,
                      string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY a, kind) AS spans FROM k GROUP BY doc_id)

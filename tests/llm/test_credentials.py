@@ -1,10 +1,13 @@
 import collections
 import re
+import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from heddle.llm import credentials as C
+from heddle.llm.queries import ORACLE
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 LONG = re.compile(r"[A-Za-z0-9_]+")
@@ -29,7 +32,8 @@ ROWS = [
     (5, "é" * 5 + f"{KEY} " * 2 + f"password={KEY}", "b", "x", 9),
     (6, "secret=Qbcdefgh1234567890abcdefgh", "c", "x", 9),
     (7, "secret=Qbcdefgh1234567890abcdefgh", "d", "x", 9),
-    (None, "Qbcdefgh1234567890abcdefgh", None, "x", 9),
+    (None, "Qbcdefgh1234567890abcdefgh", "f", None, 9),
+    (None, f"{KEY} password={KEY}", None, "x", 9),
     (8, "ab" * 20000 + " " + "0123456789abcdef" * 3000, "e", "x", 9),
 ]
 
@@ -43,7 +47,7 @@ def test_spans_and_examples(docs):
     rows, found = C.scanned(docs)
     owners = collections.defaultdict(set)
     for _, text, source, _, _ in ROWS:
-        for x in spans(text):
+        for x in spans(text) if source is not None else ():
             owners[x[3]].add(source)
     copied = {k for k, v in owners.items() if len(v) >= C.EXAMPLE_OWNERS}
     assert copied == {"Qbcdefgh1234567890abcdefgh"}
@@ -74,3 +78,45 @@ def test_many_owners_by_repository(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
     out, found = C.scanned(docs, repository=F.col("repo"))
     assert {r.doc_id: len(r.e) for r in out.select("doc_id", F.col(f"{found}.examples").alias("e")).collect()} == {i: 1 for i in range(6)} | {9: 0}
+
+
+def test_null_owners_are_as_in_sql(spark):
+    rows = [(i, "password=abcdefgh99", source, lang) for i, (source, lang) in enumerate([(None, "x"), ("a", None), ("b", "x")])]
+    rows += [(10 + i, "password=zzzzzzzz99", "a", lang) for i, lang in enumerate([None, "", "a", "b", "c", "d"])]
+    rows += [(20 + i, "password=yyyyyyyy99", None, lang) for i, lang in enumerate("abcdefg")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out, found = C.scanned(docs, repository=F.struct("source", "lang"))
+    got = {r.doc_id: len(r.e) for r in out.select("doc_id", F.col(f"{found}.examples").alias("e")).collect()}
+    assert got == {r[0]: int(10 <= r[0] < 20) for r in rows}
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents(doc_id BIGINT, text VARCHAR, source VARCHAR, lang VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+    live = dict(con.sql(f"SELECT doc_id, n_live FROM ({ORACLE['op4_secrets']})").fetchall())
+    assert live == {i: 1 - n for i, n in got.items()}
+
+
+def test_very_many_matches_in_a_text(spark):
+    n = 100_000
+    text = "".join(f"é password = 'value{i:07d}';{'x' * (i % 7)}\n" for i in range(n))
+    docs = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    began = time.time()
+    rows, found = C.scanned(docs, keep_text=False)
+    (got,) = rows.select(F.size(f"{found}.spans").alias("n"), F.element_at(f"{found}.spans", -1).alias("last")).collect()
+    assert got.n == n and got.last.end == text.rindex("'")
+    (masked,) = C.redacted(docs).collect()
+    assert masked.text == re.sub(r"password = 'value\d{7}", C.MASK, text)
+    assert time.time() - began < 60
+
+
+def test_masks_across_pieces(spark, monkeypatch):
+    monkeypatch.setattr(C, "PIECE", 16)
+    monkeypatch.setattr(C, "BLOCK", 2)
+    texts = ["é" * 15 + " secret=abcdefgh12345678901234567890 " + "x" * 40 + " token:abcdefgh99", "secret=abcdefgh" + "é" * 17, "x" * 31 + "=" * 2 + "token=abcdefgh1" * 3, "a" * 32, "password=" + "b" * 23]
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in C.redacted(docs).collect()}
+    for i, t in enumerate(texts):
+        out, at = "", 0
+        for a, _, b, _ in spans(t):
+            out += t[at:a] + C.MASK if a >= at else ""
+            at = max(at, b)
+        assert got[i] == out + t[at:]

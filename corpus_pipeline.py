@@ -33,7 +33,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked unless they are widely copied examples; ``n_chars`` follows the text."""
-    out = credentials.redacted(docs, repository=F.concat_ws("/", "source", "lang"))
+    out = credentials.redacted(docs, repository=F.struct("source", "lang"))
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 

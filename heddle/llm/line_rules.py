@@ -6,13 +6,18 @@ lines held by more than a limit are boilerplate. Documents lose those lines, and
 one that loses more than ``DEPLETED`` of its words is rejected, besides those
 that fail rules on their own text.
 
-Counting is summed in each task before the shuffle, so that a line of a third of
-all documents costs one row a task; the few lines above the limit are a table of
+A line counts once for each document of a host, documents being told apart by id:
+distinct (host, line, id) first, then summed in each task, so that a line of a third
+of all documents costs one row a task; the few lines above the limit are a table of
 their own, joined back by a join that can split hot lines.
 
-Defined results: a null or wordless text has no words and lines; a null host is
-a host of its own; repeated documents count each; an empty table gives no rows.
-Own columns are kept in a struct whose name no column of the input has.
+Defined results: a null or wordless text has no words and lines; a very long text
+is measured whole, in one row's memory, some forty bytes for each of its words; a
+null host is a host of its own; rows repeated with their id are one document's when
+lines are counted, and have a result each; a null id is no document's, so its lines
+don't count but are judged; of lines alike in one text all are removed, and a line
+held by exactly the limit stays; an empty table gives no rows. Own columns are kept
+in a struct whose name no column of the input has.
 """
 
 from __future__ import annotations
@@ -43,19 +48,19 @@ def _paired(hashes: Column, apart: int) -> Column:
     return F.zip_with(hashes, F.slice(hashes, apart + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
 
 
-def measured(docs: DataFrame, host_col: str = "source", text_col: str = "text", name: str = "found") -> DataFrame:
-    """``docs`` with the struct ``name``: the measures of each text, and its lines as hashes with numbers of words."""
+def measured(docs: DataFrame, text_col: str = "text", name: str = "found") -> DataFrame:
+    """``docs`` with the struct ``name``: the measures of each text, and its lines with words: number from 0, hash, and number of words."""
     # columns of their own, each used twice or more by the next step: Spark then computes each once
     c = {k: f"{name}_{k}" for k in ("t", "w", "l", "n", "lines", "h1", "h2", "h4", "h8", "s", "p")}
     col = {k: F.col(v) for k, v in c.items()}
     norm = _SPACE, " "
     step = docs.withColumn(c["t"], F.coalesce(F.col(text_col), F.lit("")))
-    step = step.withColumns({c["w"]: _words(col["t"]), c["l"]: F.filter(F.split(col["t"], "\n", -1), lambda x: x.rlike(_WORD))})
+    step = step.withColumns({c["w"]: _words(col["t"]), c["l"]: F.filter(F.transform(F.split(col["t"], "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda z: z.x.rlike(_WORD))})
     step = step.withColumns(
         {
             c["n"]: F.size(col["w"]),
             c["h1"]: F.transform(col["w"], lambda w: F.xxhash64(w)),
-            c["lines"]: F.transform(F.transform(col["l"], lambda x: F.lower(F.regexp_replace(F.btrim(x, F.lit(_BLANK)), *norm))), lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ", -1)).alias("n"))),
+            c["lines"]: F.transform(F.transform(col["l"], lambda z: F.struct(z.i.alias("i"), F.lower(F.regexp_replace(F.btrim(z.x, F.lit(_BLANK)), *norm)).alias("x"))), lambda z: F.struct(z.i.alias("i"), F.xxhash64(z.x).alias("h"), F.size(F.split(z.x, " ", -1)).alias("n"))),
         }
     )
     for old, new, apart in (("h1", "h2", 1), ("h2", "h4", 2), ("h4", "h8", 4)):
@@ -69,12 +74,12 @@ def measured(docs: DataFrame, host_col: str = "source", text_col: str = "text",
     step = step.withColumn(c["p"], F.array_sort(F.array_distinct(F.flatten(F.transform(pairs, lambda z: F.array(z.x.i, z.y.i))))))
     # each repeat covers as many more words as come before the next one, eight at most
     covered = F.aggregate(F.zip_with(col["p"], F.slice(col["p"], 2, F.greatest(F.size(col["p"]), F.lit(1))), lambda x, y: F.least(F.lit(REPEAT_WINDOW), y - x)), F.lit(0).cast("long"), lambda total, x: total + x)
-    t, lines = col["t"], col["l"]
+    t, lines = col["t"], F.transform(col["l"], lambda z: z.x)
     found = F.struct(
         col["n"].cast("long").alias("n_words"),
         F.length(F.regexp_replace(t, _SPACE, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        (F.size(col["l"]) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         col["lines"].alias("lines"),
     )
@@ -85,28 +90,29 @@ def base_failed(name: str = "found") -> Column:
     return (F.col(f"{name}.n_words") < LEAST_WORDS) | (F.col(f"{name}.n_repeat_words") * 100 > F.col(f"{name}.n_words") * int(100 * MOST_REPEATED))
 
 
-def frequent_lines(rows: DataFrame, host_col: str, name: str = "found", least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE) -> DataFrame:
+def frequent_lines(rows: DataFrame, host_col: str, id_col: str, name: str = "found", least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE) -> DataFrame:
     """``host`` and ``h`` of the lines above the limit, from measured documents."""
-    host = F.coalesce(F.col(host_col), F.lit(""))
-    docs = rows.groupBy(host.alias("host"), F.col(host_col).isNull().alias("no_host")).agg(F.count("*").alias("docs"))
-    held = rows.select(host.alias("host"), F.col(host_col).isNull().alias("no_host"), F.explode(F.array_distinct(F.col(f"{name}.lines.h"))).alias("h"))
-    counts = held.groupBy("host", "no_host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
-    return counts.join(docs, ["host", "no_host"]).where(F.col("n") > least_share * F.col("docs")).select("host", "no_host", "h")
+    keys = ["host", "no_host"]
+    known = rows.where(F.col(id_col).isNotNull()).select(F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.col(host_col).isNull().alias("no_host"), F.col(id_col).alias("id"), F.col(f"{name}.lines.h").alias("all"))
+    docs = known.select(*keys, "id").distinct().groupBy(*keys).agg(F.count("*").alias("docs"))
+    held = known.select(*keys, "id", F.explode(F.array_distinct("all")).alias("h")).distinct()
+    counts = held.groupBy(*keys, "h").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
+    return counts.join(docs, keys).where(F.col("n") > least_share * F.col("docs")).select(*keys, "h")
 
 
-def judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", keep_text: bool = True, name: str = "found", **limits) -> tuple[DataFrame, str]:
-    """``docs`` with the measures, ``frequent`` (hashes of the document's lines above the limit), ``n_frequent_words``,
-    ``base_failed`` and ``kept`` in a struct, and that struct's name. ``keep_text=False`` leaves the text column out."""
+def judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", id_col: str = "doc_id", keep_text: bool = True, name: str = "found", **limits) -> tuple[DataFrame, str]:
+    """``docs`` with the measures, ``frequent`` (hashes of the document's lines above the limit), ``removed`` (these lines'
+    numbers among all of the text, from 0), ``n_frequent_words``, ``base_failed`` and ``kept`` in a struct, and that struct's name. ``keep_text=False`` leaves the text column out."""
     taken = {c.lower() for c in docs.columns}
     while name in taken:
         name = f"_{name}"
     row = f"{name}_row"
-    found = measured(docs, host_col, text_col, name)
+    found = measured(docs, text_col, name)
     rows = written((found if keep_text else found.drop(text_col)).withColumn(row, F.monotonically_increasing_id()), "line-rules")
-    bad = written(frequent_lines(rows, host_col, name, **limits), "frequent-lines")
+    bad = written(frequent_lines(rows, host_col, id_col, name, **limits), "frequent-lines")
     held = rows.select(F.col(row), F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.col(host_col).isNull().alias("no_host"), F.explode(f"{name}.lines").alias("line"))
-    lost = held.select(row, "host", "no_host", F.col("line.h").alias("h"), F.col("line.n").alias("n")).join(bad, ["host", "no_host", "h"]).groupBy(row).agg(F.sum("n").alias("n"), F.collect_set("h").alias("h"))
-    lost = lost.select(F.col(row), F.struct("n", "h").alias(f"{name}_lost"))
+    lost = held.select(row, "host", "no_host", F.col("line.h").alias("h"), F.col("line.n").alias("n"), F.col("line.i").alias("i")).join(bad, ["host", "no_host", "h"]).groupBy(row).agg(F.sum("n").alias("n"), F.collect_set("h").alias("h"), F.sort_array(F.collect_list("i")).alias("i"))
+    lost = lost.select(F.col(row), F.struct("n", "h", "i").alias(f"{name}_lost"))
     out = rows.join(lost, row, "left")
     gone = F.coalesce(F.col(f"{name}_lost.n"), F.lit(0)).cast("long")
     failed = base_failed(name)
@@ -114,6 +120,7 @@ def judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", ke
         name,
         F.col(name)
         .withField("frequent", F.coalesce(F.col(f"{name}_lost.h"), F.array().cast("array<bigint>")))
+        .withField("removed", F.coalesce(F.col(f"{name}_lost.i"), F.array().cast("array<int>")))
         .withField("n_frequent_words", gone)
         .withField("base_failed", failed)
         .withField("kept", ~failed & (gone <= DEPLETED * F.col(f"{name}.n_words"))),

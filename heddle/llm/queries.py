@@ -73,7 +73,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules on each text, and on lines that many documents of a source hold."""
     rows, name = _line_rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep_text=False)
-    return rows.select("doc_id", *[f"{name}.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words")])
+    return rows.select("doc_id", *[f"{name}.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words")], F.array_join(f"{name}.removed", ",").alias("removed_lines"))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,23 +185,23 @@ ORACLE: dict[str, str] = {
         FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
     "op8_licenses": _license_sql(),
     "op7_line_rules": rf"""
-        WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'none' ELSE '=' || source END AS source, coalesce(text, '') AS text FROM documents),
         w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
-                     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+                     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, string_split(text, chr(10)) AS every FROM d),
         k AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS k, w FROM w WHERE len(w) >= 8),
         g AS (SELECT doc_id, k, array_to_string(w[k : k + 7], ' ') AS g FROM k),
         r AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
         rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(k, k + 8)) AS j FROM r) GROUP BY doc_id),
-        ll AS (SELECT doc_id, source, unnest(list_transform(l, lambda x: regexp_extract_all(lower(x), '[^\x20\x09-\x0D]+'))) AS x FROM w),
-        ln AS (SELECT doc_id, source, array_to_string(x, ' ') AS line, len(x) AS n FROM ll),
-        h AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+        ll AS (SELECT doc_id, source, unnest(list_transform(every, lambda x: regexp_extract_all(lower(x), '[^\x20\x09-\x0D]+'))) AS x, unnest(range(len(every))) AS i FROM w),
+        ln AS (SELECT doc_id, source, array_to_string(x, ' ') AS line, len(x) AS n, i FROM ll WHERE len(x) > 0),
+        h AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source),
         bad AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT doc_id) AS n FROM ln GROUP BY source, line) JOIN h USING (source)
                 WHERE n > {_line_rules.LEAST_DOCS} AND n > {_line_rules.LEAST_SHARE} * docs),
-        lost AS (SELECT doc_id, sum(n) AS n FROM ln JOIN bad USING (source, line) GROUP BY doc_id),
+        lost AS (SELECT doc_id, sum(n) AS n, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS lines FROM ln JOIN bad USING (source, line) GROUP BY doc_id),
         m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
                      CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
                      CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-                     CAST(coalesce(lost.n, 0) AS BIGINT) AS n_frequent_words
+                     CAST(coalesce(lost.n, 0) AS BIGINT) AS n_frequent_words, coalesce(lost.lines, '') AS removed_lines
               FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
         f AS (SELECT *, n_words < {_line_rules.LEAST_WORDS} OR 100 * n_repeat_words > {int(100 * _line_rules.MOST_REPEATED)} * n_words AS base_failed FROM m)
         SELECT *, NOT base_failed AND n_frequent_words <= {_line_rules.DEPLETED} * n_words AS kept FROM f""",

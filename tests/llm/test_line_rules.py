@@ -1,10 +1,12 @@
 import collections
 
+import duckdb
 import pytest
 from llm_helpers import SPACED
 from pyspark.sql import functions as F
 
 from heddle.llm import line_rules as R
+from heddle.llm.queries import ORACLE
 
 
 def base(text):
@@ -58,3 +60,19 @@ def test_cleaned_texts_lose_the_lines(site):
     assert out.columns == site.columns
     text = {r.doc_id: r.text for r in out.collect()}
     assert text[0].startswith("this is line number 0") and text[45].startswith("Home")
+
+
+def test_lines_count_once_for_each_document_as_in_sql(spark):
+    own = "this is line number {} of its own with a few more words to be long enough for the rules of this test ok"
+    rows = [(1, "often repeated\n" + own.format(1), "a")] * 16 + [(i, "Often  repeated\n" + own.format(i), "a") for i in range(2, 12)]
+    rows += [(i, "over the limit\n\n" + own.format(i) + "\nOver the limit", "b") for i in range(100, 121)] + [(100, "another text of the id\nover the limit", "b"), (200, "over the limit", None), (201, "over the limit", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out, name = R.judged(docs)
+    got = [tuple(r) for r in out.select("doc_id", F.col(f"{name}.n_frequent_words"), F.array_join(f"{name}.removed", ",")).collect()]
+    assert sorted(got) == sorted((d, 3 * t.lower().count("over the limit") * (s == "b"), ",".join(str(i) for i, x in enumerate(t.split("\n")) if s == "b" and x.lower() == "over the limit")) for d, t, s in rows)
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents(doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    # the query tells rows apart by id, so rows of an id are compared by what they lose
+    marked = con.sql(f"SELECT doc_id, n_frequent_words > 0 FROM ({ORACLE['op7_line_rules']})").fetchall()
+    assert sorted(set(marked)) == sorted({(d, n > 0) for d, n, _ in got})

@@ -25,11 +25,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of all documents by their text and their site; a source is a host, and a language a path in it."""
+    """Quality of all documents and web pages by their text and their site.
+
+    A page has its URL's host, and the first part of its path. A document has no URL: its source is its host, and its
+    language its path in it. Labels are of documents alone, and pages are scored by the same model. A document's row has
+    a ``doc_id``, a page's a ``page_id``.
+    """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     model = _site_quality.trained(docs, _table(spark, sf_dir, "labels"))
-    rows = _site_quality.scored(docs, model, F.col("source"), F.col("lang"))
-    return rows.select("doc_id", _toxicity.held_out("doc_id").alias("held_out"), "evidence", "host_posterior", "path_posterior", "score", "predicted", (F.col("predicted") == 1).alias("kept"))
+    host, path = _site_quality.page_sites(F.col("url"))
+    whole = docs.select(F.struct("doc_id", F.lit(None).cast("long").alias("page_id")).alias("id"), F.concat(F.lit("source:"), "source").alias("host"), F.col("lang").alias("path"), "text")
+    whole = whole.union(pages.select(F.struct(F.lit(None).cast("long").alias("doc_id"), "page_id"), host, path, _site_quality.page_text(F.col("html"))))
+    rows = _site_quality.scored(whole, model, F.col("host"), F.col("path"), "id").withColumnsRenamed({"doc_id": "id"})
+    columns = ["id.doc_id", "id.page_id", "host", "path", "evidence", "host_posterior", "path_posterior", "score", "predicted"]
+    return rows.select(*columns, F.when(F.col("id.page_id").isNull(), _toxicity.held_out("id.doc_id")).alias("held_out"), (F.col("predicted") == 1).alias("kept"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +69,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Noisy-or scores of all documents, by a model of sentences learned from two thirds of the labels."""
+    """Noisy-or scores of all documents, by a model of sentences learned from two thirds of the labels, and the places of
+    the offending sentences in toxic documents, as start:end in code points."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = _toxicity.scored(docs, _toxicity.trained(docs, _table(spark, sf_dir, "labels"))).toDF("doc_id", "text", "got")
-    return rows.select("doc_id", _toxicity.held_out("doc_id").alias("held_out"), "got.score", (F.col("got.score") >= _toxicity.THRESHOLD).cast("int").alias("predicted"))
+    places = F.array_join(F.transform("got.offending", lambda x: F.concat_ws(":", x.start, x.end)), ",").alias("offending")
+    return rows.select("doc_id", _toxicity.held_out("doc_id").alias("held_out"), "got.score", (F.col("got.score") >= _toxicity.THRESHOLD).cast("int").alias("predicted"), places)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,11 +13,17 @@ costs one row a task. Only the moments come to the driver. The classifier is
 fitted on a bounded sample (``MOST_DOCS`` labelled documents, the first by a hash
 of the id), of which only features come to the driver.
 
-Defined results: a null or empty text has features of zero; a null host or path
-is one of its own; null labels, and labels that are held out or lack a document,
-are not learned from; several labels of a document count by their mean; without
-two kinds of labels the evidence is even; repeated documents are rows of their
-own; an empty table gives no rows. Only the named columns are looked at.
+Web pages are judged by their URL's host and the first part of its path, and by
+their text without mark-up (``page_sites``, ``page_text``).
+
+Defined results: a null or empty text has features of zero; a very long text is
+looked at whole, in some twelve bytes for each of its bytes; a null host or path is
+one of its own; null labels, and labels that are held out or lack a document, are
+not learned from; several labels of a document count by their mean, a half or more
+as 1, and of its texts the one of the least hash is learned from; without two kinds
+of labels the evidence is even; a score of exactly THRESHOLD is good; repeated
+documents are rows of their own; an empty table gives no rows. Only the named
+columns are looked at, so no other can clash.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as X
 from .store import written
-from .toxicity import held_out
+from .toxicity import held_out, one_text_each
 
 MOST_DOCS = 20_000
 THRESHOLD = 0.5
@@ -50,13 +56,15 @@ _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 for _i, _c in enumerate(_MARKS):
     _KIND[ord(_c)] = 7 + _i
 _N_KINDS = 7 + len(_MARKS)
+_IN_KIND = np.zeros((256, _N_KINDS), np.int64)
+_IN_KIND[np.arange(256), _KIND] = 1
 
 
 def features(texts: X.Texts) -> np.ndarray:
     """A row for each text: square roots of the shares of character kinds, then lengths and repetition."""
     n, size = len(texts), np.diff(texts.offs)
-    owner = np.repeat(np.arange(n), size)
-    counts = np.bincount(owner * _N_KINDS + _KIND[texts.data[: texts.offs[-1]]], minlength=n * _N_KINDS).reshape(n, _N_KINDS)
+    # a text's bytes are counted by themselves, which takes no more than they do
+    counts = np.stack([np.bincount(texts.data[a:b], minlength=256) for a, b in zip(texts.offs.tolist(), texts.offs[1:].tolist(), strict=False)]) @ _IN_KIND
     w = X.words(texts, X.SPACED_WORDS)
     words, of = w.counts, w.owners()
     h = X.mix(X.hashes(w) ^ X.mix(of.astype(np.uint64) + np.uint64(1)))
@@ -110,7 +118,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null").where(~held_out("id"))
     known = known.groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most_docs)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(known), "id").select("y", "text").mapInArrow(_features, "y int, x binary").collect()
+    rows = one_text_each(texts.join(F.broadcast(known), "id")).mapInArrow(_features, "y int, x binary").collect()
     rows.sort(key=lambda r: (bytes(r.x), r.y))
     x = np.array([np.frombuffer(r.x, "<f8") for r in rows]) if rows else np.zeros((0, _N_KINDS + 5))
     return fit(x, np.array([r.y for r in rows], np.float64))
@@ -126,6 +134,24 @@ def _scorer(sent):
     return X.lean(run)
 
 
+def page_sites(url: Column) -> tuple[Column, Column]:
+    """A URL's host, and the first part of its path (empty for none). A text that is no URL has neither."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/+([^/?#]*)", 1)
+    return F.when(host != "", host), F.when(host != "", path)
+
+
+def page_text(html: Column) -> Column:
+    """What stands outside of tags, comments, scripts and styles, with a space for each tag."""
+    pieces = F.transform(F.split(F.coalesce(html, F.lit("")), "<", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+
+    def behind(p: Column) -> Column:
+        hidden = p.x.rlike("^(?i:script|style)") | p.x.startswith("!--") & (F.instr(p.x, "-->") == 0)
+        return F.when(p.i == 0, p.x).when(hidden, "").when(p.x.startswith("!--"), F.regexp_replace(p.x, "(?s)^!--.*?-->", "")).otherwise(F.regexp_replace(p.x, "^[^>]*>?", ""))
+
+    return F.array_join(F.transform(pieces, behind), " ")
+
+
 def _logit(p: Column) -> Column:
     p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
     return F.log(p / (1 - p))

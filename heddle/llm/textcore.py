@@ -202,10 +202,12 @@ def within(first: np.ndarray, n: int) -> np.ndarray:
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` by text, in which empty texts have 0."""
-    total = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "f" else np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
+    """Sums of ``values`` by text, in which empty texts have 0. Each text is summed by itself, whatever stands beside it."""
+    out = np.zeros(len(first) - 1, values.dtype if values.dtype.kind == "f" else np.int64)
+    some = first[1:] > first[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values, first[:-1][some], dtype=out.dtype)
+    return out
 
 
 def joined(w: Words, i: int) -> bytes:

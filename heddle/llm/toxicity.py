@@ -18,10 +18,15 @@ shuffles nothing; the model that is broadcast has at most ``MOST_FEATURES``.
 Sentences end at ``.``, ``!``, ``?`` or a line feed. Words are the runs of
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` with A-Z lower-cased.
 
-Defined results: a null or wordless text has no sentences and the score 0; null
-labels and labels without a document are not learned from; several labels of a
-document count by their mean, a half or more as 1; without any usable label
-every score is 0; repeated documents are rows of their own.
+Defined results: a null or wordless text has no sentences and the score 0; a very
+long text is scored whole, in some sixty bytes for each of its bytes, and no score
+depends on other texts or on how rows are dealt; null labels and labels without a
+document are not learned from; several labels of a document count by their mean, a
+half or more as 1, and of its texts the one of the least hash is learned from;
+without any usable label every score is 0; of features alike surprising the lesser hash is taken first; a score of exactly
+THRESHOLD is toxic; repeated documents are rows of their own; empty tables give no
+rows. Own columns are numbered while texts are scored, so none can clash, and come
+last in the result.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as X
-from .store import written
+from .store import dropped, written
 
 MOST_DOCS = 8_000
 THRESHOLD = 0.7
@@ -255,16 +260,23 @@ def held_out(doc_id: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def one_text_each(sample: DataFrame) -> DataFrame:
+    """``y`` and ``text`` of each ``id`` once, however often it is repeated."""
+    return sample.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("y", "text")
+
+
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: int = MOST_DOCS) -> Model:
     """A model from the labels that aren't held out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null").where(~held_out("id"))
     known = known.groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most_docs)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    sample = written(texts.join(F.broadcast(known), "id").select("y", "text"), "toxicity-sample")
+    sample = written(one_text_each(texts.join(F.broadcast(known), "id")), "toxicity-sample")
     n_docs, n_bad = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     vocabulary = screened(sample, n_docs, n_bad) if 0 < n_bad < n_docs else np.zeros(0, np.uint64)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    return fit(sorted(sample.mapInArrow(_bagger(sent), BAGS).collect()), vocabulary)
+    bags = sample.mapInArrow(_bagger(sent), BAGS).collect()
+    dropped(sample)
+    return fit(sorted(bags), vocabulary)
 
 
 def _scorer(sent, column: str, least: float):

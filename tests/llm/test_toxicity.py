@@ -1,11 +1,15 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from llm_helpers import WORDS, lower
 
 from heddle.llm import textcore as X
 from heddle.llm import toxicity as T
+from heddle.llm.queries import QUERIES
 
 
 def parsed(texts):
@@ -95,3 +99,50 @@ def test_long_labelled_documents_are_learned(spark):
     model = T.trained(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
     score = T.doc_scores(model, parsed(["w1 w2 w3", "w1 w2 w3. grok"]))[0]
     assert score[0] < T.THRESHOLD <= score[1]
+
+
+def brute(model, text):
+    """A text's score and offending sentences, word by word and sentence by sentence."""
+    weight = dict(zip(model.vocabulary.tolist(), model.weights.tolist(), strict=True))
+    found = []
+    for m in re.finditer(r"[^.!?\n]+", text or ""):
+        words_in = list(WORDS.finditer(lower(m[0])))
+        if not words_in:
+            continue
+        z = model.bias
+        for word in (x[0].encode() for x in words_in):
+            for kind in T.KINDS:
+                if not kind or len(word) > kind:
+                    part = word[:kind] if kind else word
+                    one = X.Words(np.frombuffer(part + bytes(8), np.uint8), np.array([0]), np.array([len(part)]), np.array([0, 1]))
+                    z += weight.get(int(X.hashes(one, seed=kind)[0]), 0.0)
+        found.append((m.start() + words_in[0].start(), m.start() + words_in[-1].end(), 1 / (1 + math.exp(-z)), z))
+    if not found:
+        return 0.0, []
+    clean = 1.0
+    for *_, p, z in found:
+        clean *= 1 / (1 + math.exp(z)) if p >= model.least else 1.0
+    score = max(1 - clean, max(p for *_, p, _ in found))
+    return score, [(a, b) for a, b, p, _ in found if p >= 0.5] if score >= T.THRESHOLD else []
+
+
+def test_query_same_as_brute_force(spark, sf, texts):
+    model = T.trained(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert len(model.vocabulary) > 10
+    got = {r.doc_id: r for r in QUERIES["op5_toxicity"](spark, sf).collect()}
+    assert len(got) == len(texts) and any(r.offending for r in got.values())
+    for i, text in texts:
+        score, places = brute(model, text)
+        assert abs(got[i].score - score) < 1e-9 and got[i].predicted == (score >= T.THRESHOLD)
+        assert got[i].offending == ",".join(f"{a}:{b}" for a, b in places)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_a_score_doesnt_depend_on_its_neighbours():
+    random.seed(1)
+    vocabulary = np.sort(X.hashes(parsed([" ".join(f"w{i}" for i in range(200))])))
+    model = T.Model(vocabulary, np.array([random.gauss(0, 1) for _ in vocabulary]), -1.0)
+    some = [". ".join(f"w{random.randrange(200)} w{random.randrange(200)}" for _ in range(random.randrange(1, 400))) for _ in range(30)]
+    alone = [T.doc_scores(model, parsed([t]))[0][0] for t in some]
+    assert T.doc_scores(model, parsed(some))[0].tolist() == alone
+    assert T.doc_scores(model, parsed(["x. " * 100_000, *some]))[0][1:].tolist() == alone

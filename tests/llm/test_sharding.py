@@ -1,10 +1,12 @@
 import collections
 import random
+import time
 import zlib
 
 import pytest
 
 from heddle.llm import sharding as H
+from heddle.llm.queries import QUERIES
 
 
 def check(rows, docs, n=8, slack=0.02):
@@ -62,3 +64,36 @@ def test_files(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(tuple, got.select("doc_id", "text", "shard").collect())) == sorted(docs)
     assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == [f"_shard={i}" for i in range(4)]
+
+
+def test_very_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(H, "LEAST_RANGES", 8192)
+    docs = [(i, f"text {i // 2}") for i in range(20_000)] + [(i, "the same words in all of these") for i in range(20_000, 30_000)]
+    began = time.time()
+    rows = H.placed(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = check(rows, docs, slack=0.001)
+    assert time.time() - began < 60
+    shards = collections.defaultdict(set)
+    for r in got:
+        shards[r["text_crc32"]].add(r["shard"])
+    del shards[zlib.crc32(b"the same words in all of these")]
+    assert all(len(s) == 1 for s in shards.values())
+
+
+def test_a_kept_group_in_several_ranges_stays_whole(spark, monkeypatch):
+    """Groups that are over twice a range, and so are subdivided, but under the share of a shard from which they are cut."""
+    monkeypatch.setattr(H, "LEAST_RANGES", 4096)
+    monkeypatch.setattr(H, "TOLERANCE", 0.05)
+    docs = [(i, f"group {i // 200}") for i in range(60_000)]
+    got = check(H.placed(spark.createDataFrame(docs, "doc_id long, text string")), docs, slack=0.05)
+    shards = collections.defaultdict(set)
+    for r in got:
+        shards[r["text_crc32"]].add(r["shard"])
+    assert len(shards) == 300 and all(len(s) == 1 for s in shards.values())
+
+
+def test_the_query_follows_its_law(spark, sf, texts):
+    rows = QUERIES["op6_sharding"](spark, sf)
+    assert rows.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    got = check(rows, texts)
+    assert all(r["law"] == "bytes" and r["grown_shard"] is None for r in got)

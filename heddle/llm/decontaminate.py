@@ -13,11 +13,20 @@ A-Z lower-cased. They are compared by a 64-bit hash while searching, and byte by
 byte before a match counts; should two words share a hash, the shard is done
 again under another seed.
 
-Defined results: a null or wordless text has no words and no hits; a null or
-wordless item has no windows; equal texts of two items count for both; a null item id is -1; repeated documents are
-rows of their own; empty tables give no rows, and a benchmark without items
-leaves every document clean. Columns other than the two named ones are not
-looked at, so their names cannot clash.
+Every shard is searched for every suffix of the items, which is the method's cost:
+it grows with the number of shards times the benchmark's words.
+
+Item ids may be of any type that has a text; they are reported as text.
+
+Defined results: a null or wordless text has no words and no hits; a very long text
+is cut into shards that overlap by as many words as a match can have, and is held
+whole with its words, in some sixty bytes for each of its bytes; a null or wordless
+item has no windows; equal texts of two items count for both; items of one id are
+one item; a null id counts as an item and is listed as null; of longest matches that
+are equally long the one of the first item by id, null first, and then of the first
+word counts; repeated documents are rows of their own; empty tables give no rows,
+and a benchmark without items leaves every document clean. Columns other than the
+two named ones are not looked at, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -45,23 +54,24 @@ FOUND = T.StructType(
         T.StructField("n_words", T.LongType()),
         T.StructField("n_hit", T.LongType()),
         T.StructField("hits", T.BinaryType()),
-        T.StructField("items", T.ArrayType(T.LongType())),
+        T.StructField("items", T.ArrayType(T.StringType())),
         T.StructField("longest_words", T.LongType()),
-        T.StructField("longest_item", T.LongType()),
+        T.StructField("longest_item", T.StringType()),
         T.StructField("longest_start", T.LongType()),
+        T.StructField("longest_order", T.LongType()),
     ]
 )
 
 
 class Items:
-    """A block of test items, as words with hashes under a seed."""
+    """A block of test items, as words with hashes under a seed. ``order`` is the number of the first among all items."""
 
-    def __init__(self, ids: list[int], texts: list[str], window: int):
+    def __init__(self, ids: list[str | None], texts: list[str], order: int, window: int):
         raw = [t.encode() for t in texts]
         data = np.zeros(sum(map(len, raw)) + 8, np.uint8)
         data[:-8] = np.frombuffer(b"".join(raw), np.uint8)
         self.words = X.words(X.Texts(data, np.cumsum([0, *map(len, raw)])), X.LOWER_WORDS, lower=True)
-        self.ids, n = np.array(ids, np.int64), self.words.counts
+        self.ids, self.order, n = ids, order, self.words.counts
         self.longest = int(n.max(initial=0))
         self.owner = self.words.owners()
         at = np.arange(len(self.owner))
@@ -148,7 +158,7 @@ class SuffixArray:
 
 
 def search(w: X.Words, items: Items) -> tuple[np.ndarray, list[set], np.ndarray]:
-    """For the texts of w: which words are hit, each text's items, and each text's longest match as (words, item, start)."""
+    """For the texts of w: which words are hit, each text's items, and each text's longest match as (words, order of the item, start)."""
     total, n_texts = int(w.first[-1]), len(w.first) - 1
     hit, found = np.zeros(total, bool), [set() for _ in range(n_texts)]
     best = np.zeros((n_texts, 3), np.int64)
@@ -202,9 +212,8 @@ def _search_shard(w, at, to, items, owner, hit, found, best) -> None:
         for j, p in places.items():
             change[p] += 1
             change[p + items.width[j]] -= 1
-            item = int(items.ids[items.owner[j]])
-            for text in np.unique(here[p]):
-                found[text].add(item)
+            for text in np.unique(here[p]).tolist():
+                found[text].add(items.ids[items.owner[j]])
             _longest(array, back, here, ends[j], j, items, w, at, best)
         hit[at:to] |= np.cumsum(change)[:-1] > 0
         return
@@ -221,7 +230,7 @@ def _longest(array, back, here, nested, j, items, w, at, best) -> None:
         for a, b in ((lo, inner[0]), (inner[1], hi)):
             p = back[array.order[a:b]]
             for text, start in zip(here[p].tolist(), p.tolist(), strict=True):
-                new = (depth, -int(items.ids[items.owner[j]]), -int(at + start - w.first[text]))
+                new = (depth, -(items.order + int(items.owner[j])), -int(at + start - w.first[text]))
                 if new > (best[text][0], -best[text][1], -best[text][2]) or not best[text][0]:
                     best[text] = (new[0], -new[1], -new[2])
 
@@ -245,42 +254,45 @@ def _pass(block, column: str, seen: bool):
                 hit, found, best = search(w, items)
                 for i in range(b - a):
                     own, old = hit[w.first[i] : w.first[i + 1]], before[a + i]
-                    ids, top = sorted(found[i]), best[i].tolist()
+                    ids, (words, order, start) = found[i], best[i].tolist()
+                    longest = {"longest_words": words, "longest_item": items.ids[order - items.order] if words else None, "longest_start": start if words else None, "longest_order": order if words else None}
                     if old:
                         own = own.copy()
                         for s, e in np.frombuffer(old["hits"], "<i8").reshape(-1, 2):
                             own[s:e] = True
-                        ids = sorted({*old["items"], *ids})
-                        if old["longest_words"] and (old["longest_words"], -old["longest_item"], -old["longest_start"]) >= (top[0], -top[1], -top[2]):
-                            top = [old["longest_words"], old["longest_item"], old["longest_start"]]
-                    out.append({"n_words": len(own), "n_hit": int(own.sum()), "hits": _runs(own).astype("<i8").tobytes(), "items": ids, "longest_words": top[0], "longest_item": top[1] if top[0] else None, "longest_start": top[2] if top[0] else None})
-            kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.int64())), ("longest_words", pa.int64()), ("longest_item", pa.int64()), ("longest_start", pa.int64())])
+                        ids = ids.union(old["items"])
+                        # items of earlier blocks come first
+                        if old["longest_words"] >= words:
+                            longest = {k: old[k] for k in longest}
+                    listed = sorted(ids, key=lambda x: (x is not None, x or ""))
+                    out.append({"n_words": len(own), "n_hit": int(own.sum()), "hits": _runs(own).astype("<i8").tobytes(), "items": listed} | longest)
+            kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.string())), ("longest_words", pa.int64()), ("longest_item", pa.string()), ("longest_start", pa.int64()), ("longest_order", pa.int64())])
             columns = batch.columns[: len(names) - seen]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, kind)], names=[f"c{i}" for i in range(len(columns) + 1)])
 
     return X.lean(run)
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int) -> Iterator[tuple[list[int], list[str]]]:
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int) -> Iterator[tuple[list[str | None], list[str], int]]:
     """The test items by id, in blocks of about ``most_bytes``; never more than one block is on the driver with the next row."""
-    ids, texts, size = [], [], 0
-    rows = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").orderBy("i", "t").toLocalIterator()
+    ids, texts, size, order = [], [], 0, 0
+    rows = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").orderBy("i", "t").select(F.col("i").cast("string").alias("i"), "t").toLocalIterator()
     for row in rows:
         if ids and size + len(row.t) > most_bytes:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(row.i if row.i is not None else -1)
+            yield ids, texts, order
+            ids, texts, size, order = [], [], 0, order + len(ids)
+        ids.append(row.i)
         texts.append(row.t)
         size += len(row.t)
-    yield ids, texts
+    yield ids, texts, order
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All rows and columns of ``docs`` with one more at the end, the struct of FOUND.
 
     ``hits`` holds pairs of little-endian 64-bit numbers, the runs of hit words as start and end; ``items`` the ids of
-    items of which a window occurs (null ids as -1); ``longest_*`` the longest verbatim match: its words, its item, and
-    its first word in the document (of equals the smallest item id, then start).
+    items of which a window occurs, as text; ``longest_*`` the longest verbatim match of a window or more: its words, its
+    item, its first word in the document, and its item's number by id.
     """
     spark, names, out, seen = docs.sparkSession, docs.columns, docs, False
     fields = [T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema.fields)]
@@ -302,7 +314,7 @@ def contaminated(found: str = "found") -> F.Column:
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """A row for each document: its id as ``doc_id``, the fields of FOUND without the runs, and ``contaminated``."""
     rows = matched(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, **how).toDF("doc_id", "text", "found")
-    return rows.select("doc_id", *[F.col(f"found.{f.name}") for f in FOUND.fields if f.name != "hits"], contaminated().alias("contaminated"))
+    return rows.select("doc_id", *[F.col(f"found.{f.name}") for f in FOUND.fields if f.name not in ("hits", "longest_order")], contaminated().alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:

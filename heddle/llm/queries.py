@@ -43,10 +43,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of benchmark passages in each document, by suffix arrays."""
+    """Words of benchmark passages in each document, and its longest verbatim match, by suffix arrays."""
     found = _decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    named = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named.cast("binary"), 256).alias("items_sha256"), "contaminated")
+    named = F.array_join(F.array_sort("items"), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named.cast("binary"), 256).alias("items_sha256"), "contaminated", "longest_words", "longest_item", "longest_start")
 
 
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,17 +184,23 @@ ORACLE: dict[str, str] = {
         WITH d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
         i AS (SELECT item_id, {_LOWER_WORDS} AS w FROM benchmark),
         iw AS (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM i WHERE len(w) > 0),
-        win AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS p FROM iw),
+        pos AS (SELECT item_id, n, k AS p, array_to_string(w[k : k + n - 1], ' ') AS t FROM iw),
+        win AS (SELECT DISTINCT item_id, n, t FROM pos),
         sizes AS (SELECT DISTINCT n FROM win),
         dk AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n),
-        dw AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS p FROM dk),
-        hit AS (SELECT dw.doc_id, dw.n, dw.k, win.item_id FROM dw JOIN win USING (n, p)),
+        dw AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS t FROM dk),
+        hit AS (SELECT dw.doc_id, dw.n, dw.k, win.item_id, dw.t FROM dw JOIN win USING (n, t)),
         hw AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS j FROM hit) GROUP BY doc_id),
-        hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+        hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id),
+        pairs AS (SELECT DISTINCT doc_id, item_id, n, k, k - p AS along FROM hit JOIN pos USING (item_id, n, t)),
+        runs AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, item_id, n, along ORDER BY k) AS run FROM pairs),
+        whole AS (SELECT doc_id, item_id, min(k) - 1 AS start, n + count(*) - 1 AS words FROM runs GROUP BY doc_id, item_id, n, along, run),
+        longest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, item_id NULLS FIRST, start) AS r FROM whole) WHERE r = 1)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-        FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+               CAST(coalesce(words, 0) AS BIGINT) AS longest_words, CAST(longest.item_id AS VARCHAR) AS longest_item, CAST(start AS BIGINT) AS longest_start
+        FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id) LEFT JOIN longest USING (doc_id)""",
     "op8_licenses": _license_sql(),
     "op7_line_rules": rf"""
         WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'none' ELSE '=' || source END AS source, coalesce(text, '') AS text FROM documents),

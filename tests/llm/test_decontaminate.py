@@ -29,7 +29,7 @@ def brute(texts, items):
 
 
 def searched(texts, items):
-    block, out = D.Items([i for i, _ in items], [t for _, t in items], 13), []
+    block, out = D.Items([i for i, _ in items], [t for _, t in items], 0, 13), []
     for a, b, part in X.slices(pa.array(texts, pa.string())):
         w = X.words(part, X.LOWER_WORDS, lower=True)
         hit, found, best = D.search(w, block)
@@ -54,7 +54,7 @@ def test_longest_match_and_its_place():
     passage = [f"w{i}" for i in range(30)]
     texts = ["x y " + " ".join(passage[3:25]) + " z " + " ".join(passage[:14]), "none of it"]
     got = searched(texts, [(7, " ".join(passage)), (8, " ".join(passage[5:19]))])
-    assert got[0][3] == [22, 7, 2]
+    assert got[0][3] == [22, 0, 2]
     assert got[0][2] == [7, 8]
     assert got[1][1:3] == (0, [])
 
@@ -66,7 +66,7 @@ def test_blocks_of_items_add_up(spark):
     one = D.report(docs, items).collect()
     many = D.report(docs, items, block_bytes=150).collect()
     assert sorted(one) == sorted(many)
-    assert {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in one} == {1: (40, [0, 3], True), 2: (0, [], False), 3: (0, [], False)}
+    assert {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in one} == {1: (40, ["0", "3"], True), 2: (0, [], False), 3: (0, [], False)}
     kept = D.decontaminated(docs, items)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
@@ -77,3 +77,14 @@ def test_a_twentieth_is_needed(spark):
     docs = spark.createDataFrame([(n, passage + " x" * (n - 13)) for n in (260, 261)], "doc_id long, text string")
     items = spark.createDataFrame([(1, passage)], "item_id long, text string")
     assert {r.doc_id: r.contaminated for r in D.report(docs, items).collect()} == {260: True, 261: False}
+
+
+def test_ids_of_any_type_and_null(spark):
+    passage = [f"p{i}" for i in range(40)]
+    docs = spark.createDataFrame([("a", " ".join(passage[10:35])), (None, "x " + " ".join(passage[:15]))], "doc_id string, text string")
+    items = spark.createDataFrame([("é/1", " ".join(passage[:30])), ("b", " ".join(passage[12:])), (None, " ".join(passage[:20])), ("c", None), ("b", " ".join(passage[12:]))], "item_id string, text string")
+    for size in (16 << 20, 10):
+        got = {r.doc_id: r for r in D.report(docs, items, block_bytes=size).collect()}
+        assert got["a"]["items"] == ["b", "é/1"] and got[None]["items"] == [None, "é/1"]
+        assert (got["a"].longest_words, got["a"].longest_item, got["a"].longest_start) == (23, "b", 2)
+        assert (got[None].longest_words, got[None].longest_item, got[None].longest_start) == (15, None, 1)

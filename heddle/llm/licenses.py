@@ -10,8 +10,11 @@ Words are the runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` with A-Z lower-ca
 templates and phrases are read by the same rule. Texts are scanned where they
 lie, in slices of bounded size, and nothing is shuffled.
 
-Defined results: a null or wordless text has no places and no labels; repeated
-documents are rows of their own; other columns are not looked at.
+Defined results: a null or wordless text has no places and no labels; a very long
+text is scanned whole, in some forty bytes for each of its bytes; of passages that
+several templates accept at one place each counts, and labels are listed once, in
+order; repeated documents are rows of their own; an empty table gives no rows; other
+columns are not looked at, and have numbers for names meanwhile, so none can clash.
 """
 
 from __future__ import annotations
@@ -37,29 +40,43 @@ def _creative_commons(label: str, kind: str) -> list[tuple[str, str]]:
     return [(label, f"{notice} [[International]] License"), *((label, f"{notice} {v} [[{{{{2}}}}]] License") for v in ("1.0", "2.0", "2.1", "2.5", "3.0", "4.0"))]
 
 
-def _gpl(label: str, version: str) -> list[tuple[str, str]]:
+def _gpl(label: str, version: str, kind: str = "") -> list[tuple[str, str]]:
     """The notice of one line, and the standard header after the program's name."""
     return [
-        (label, f"licensed under the [[terms of the]] GNU General Public License [[(GPL)]] [[,]] version {version}"),
+        (label, f"licensed under the [[terms of the]] GNU {kind}General Public License [[(GPL)]] [[,]] version {version}"),
         (
             label,
-            f"""is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+            f"""is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as
             published by the Free Software Foundation, [[either]] version {version} of the License [[, or (at your option) any
             later version]]. {{{{6}}}} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
-            the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
+            the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for
             more details.""",
         ),
         (
             label,
-            f"""is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License
+            f"""is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License
             version {version} as published by the Free Software Foundation. {{{{6}}}} is distributed in the hope that it will be
             useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
-            PURPOSE. See the GNU General Public License for more details.""",
+            PURPOSE. See the GNU {kind}General Public License for more details.""",
         ),
     ]
 
 
-#: Labels with templates. Each begins with two mandatory words. License texts and headers have all of their mandatory
+#: The BSD licenses, with a place for a third clause.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+    the following conditions are met: [[1.]] [[a)]] Redistributions of source code must retain the above copyright
+    notice, this list of conditions and the following disclaimer. [[2.]] [[b)]] Redistributions in binary form must
+    reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+    and/or other materials provided with the distribution. {third} THIS SOFTWARE IS PROVIDED BY {{{{12}}}} "AS IS" AND ANY
+    EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR
+    A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {{{{12}}}} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+    SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+    SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+    WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+    OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+#: Labels with templates, public license texts and notices as fixed values. Each begins with two mandatory words. License texts and headers have all of their mandatory
 #: wording; notices of one line are whole statements by themselves.
 TEMPLATES = [
     ("mit", "released under the [[terms of the]] MIT License"),
@@ -101,22 +118,56 @@ TEMPLATES = [
         CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
         SOFTWARE.""",
     ),
+    ("bsd-2-clause", _BSD.format(third="")),
+    (
+        "bsd-3-clause",
+        _BSD.format(
+            third="""[[3.]] [[c)]] Neither the name of {{12}} nor the names of {{4}} may be used to endorse or promote products derived
+            from this software without specific prior written permission."""
+        ),
+    ),
+    (
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+        any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: [[1.]] The origin of this software must not be misrepresented; you must not claim that you wrote the
+        original software. If you use this software in a product, an acknowledgment in the product documentation would be
+        appreciated but is not required. [[2.]] Altered source versions must be plainly marked as such, and must not be
+        misrepresented as being the original software. [[3.]] This notice may not be removed or altered from any source
+        distribution.""",
+    ),
+    (
+        "bsl-1",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+        accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute,
+        and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the
+        Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire
+        statement, including the above license grant, this restriction and the following disclaimer, must be included in all
+        copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative
+        works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE
+        IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS
+        OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR
+        OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "0bsd",
+        """Permission to use, copy, modify, and [[/or]] distribute this software for any purpose with or without fee is hereby
+        granted. THE SOFTWARE IS PROVIDED "AS IS" AND {{12}} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
+        ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {{12}} BE LIABLE FOR ANY SPECIAL, DIRECT,
+        INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+        ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+        THIS SOFTWARE.""",
+    ),
     (
-        "bsd",
-        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
-        the following conditions are met: [[1.]] [[a)]] Redistributions of source code must retain the above copyright
-        notice, this list of conditions and the following disclaimer. [[2.]] [[b)]] Redistributions in binary form must
-        reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
-        and/or other materials provided with the distribution. [[3.]] [[c)]] [[Neither the name of {{12}} nor the names of
-        {{4}} may be used to endorse or promote products derived from this software without specific prior written
-        permission.]] THIS SOFTWARE IS PROVIDED BY {{12}} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
-        LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
-        EVENT SHALL {{12}} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
-        (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
-        BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
-        (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
-        POSSIBILITY OF SUCH DAMAGE.""",
+        "mpl-2",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at [[http://mozilla.org/MPL/2.0/]] [[https://mozilla.org/MPL/2.0/]]""",
     ),
+    *_gpl("lgpl-3", "3", "Lesser "),
+    *_gpl("lgpl-2.1", "2.1", "Lesser "),
+    *_gpl("agpl-3", "3", "Affero "),
     (
         "unlicense",
         """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,

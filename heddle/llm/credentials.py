@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import columns_of, written
 
 #: Kinds in order; the first three are the base.
 KINDS = ("assign", "access", "hex", "token")
@@ -159,7 +159,7 @@ def redacted(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     cuts = _folded(live, F.lit(0), "int", lambda at, s: F.greatest(at, s.end), lambda at, s: F.when(s.start >= at, F.array(F.struct(at.alias("a"), s.start.alias("b"), F.lit(True).alias("mask"))).cast(_CUTS)).otherwise(none), _CUTS)
     rest = F.struct(F.array_max(F.transform(live, lambda s: s.end)).alias("a"), F.length(text).alias("b"), F.lit(False).alias("mask"))
     masked = _let(F.concat(cuts, F.array(rest).cast(_CUTS)), lambda all_: _pieced(text, all_))
-    return rows.withColumn(text_col, F.when(F.size(live) > 0, masked).otherwise(text)).select(*docs.columns)
+    return rows.withColumn(text_col, F.when(F.size(live) > 0, masked).otherwise(text)).select(*columns_of(docs))
 
 
 def _pieced(text: Column, cuts: Column) -> Column:

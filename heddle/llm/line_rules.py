@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import columns_of, written
 
 #: A line is boilerplate in a host if more documents hold it than both.
 LEAST_DOCS, LEAST_SHARE = 20, 0.01
@@ -83,7 +83,7 @@ def measured(docs: DataFrame, text_col: str = "text", name: str = "found") -> Da
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         col["lines"].alias("lines"),
     )
-    return step.select(*[F.col(f"`{x}`") for x in docs.columns], found.alias(name))
+    return step.select(*columns_of(docs), found.alias(name))
 
 
 def base_failed(name: str = "found") -> Column:
@@ -134,4 +134,4 @@ def cleaned(docs: DataFrame, host_col: str = "source", text_col: str = "text", *
     norm = lambda x: F.xxhash64(F.lower(F.regexp_replace(F.btrim(x, F.lit(_BLANK)), _SPACE, " ")))
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~(x.rlike(_WORD) & F.array_contains(F.col(f"{name}.frequent"), norm(x)))), "\n")
     rows = rows.where(F.col(f"{name}.kept"))
-    return rows.withColumn(text_col, F.when(F.size(f"{name}.frequent") > 0, left).otherwise(F.col(text_col))).select(*docs.columns)
+    return rows.withColumn(text_col, F.when(F.size(f"{name}.frequent") > 0, left).otherwise(F.col(text_col))).select(*columns_of(docs))

@@ -18,10 +18,13 @@ Words are the runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` with A-Z lower-ca
 text of one to four words is one gram of all its words. Grams and words are
 compared by 64-bit hashes, texts of the same words by 128 bits.
 
-Defined results: a null or wordless text is a group of its own without links;
-repeated documents are copies of each other; a null id is no group's name while
-another id is there; an empty table gives no rows. Only the two named columns
-are looked at, so others cannot clash.
+Defined results: a null or wordless text is a group of its own without links; a
+very long text is one set of grams, in some sixty bytes for each of its bytes, and
+a cell holds at least one; a similarity of exactly the threshold is a link; repeated
+documents are copies of each other; a null id is no group's name while another id is
+there, and of a group's rows of the least id the one of the least hash of its text is
+first; an empty table gives no rows. Only the two named columns are looked at, so
+others cannot clash.
 """
 
 from __future__ import annotations

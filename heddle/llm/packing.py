@@ -16,9 +16,11 @@ makes the same sequences. A group costs at most a dozen short sequences.
 Tokenizing splits texts at ASCII white space, at which no token of a tokenizer
 that drops white space crosses, and keeps the ids of words that were seen.
 
-Defined results: a null or empty text has the closing id alone; repeated
-documents are packed each; an empty table gives no rows; only the two named
-columns are looked at.
+Defined results: a null or empty text has the closing id alone; a very long text is
+tokenized whole, in some forty bytes for each of its bytes, and fills windows of its
+own; of rests alike in length the first read is taken first; repeated documents are
+packed each; an empty table gives no rows; only the two named columns are looked at,
+so no other can clash.
 """
 
 from __future__ import annotations

@@ -57,3 +57,44 @@ def test_same_as_brute_force(spark, sf, tmp_path):
     assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) for r in got)
     assert sum(r.length for r in got) == sum(map(len, ids.values()))
     assert not re.search("localCheckpoint", open(C.__file__).read())
+
+
+def edge_tables(spark, sf, folder, rows):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, found string, score int, shard int, c0 int, class_id int, `a.b` int"
+    spark.createDataFrame([(*r, "x", 1, 2, 3, 4, 5) for r in rows], schema).coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_nulls_long_texts_repeated_rows_and_clashing_columns(spark, sf, tmp_path):
+    long = " ".join(f"w{i * 7919 % 100_003}" for i in range(60_000))
+    own = "a document of its own with words enough to be told from all of the others here"
+    passage = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [
+        (1, own, "en", "a", 5), (1, own, "en", "a", 5), (9, own, "en", "b", 5), (None, own, None, None, None),
+        (2, None, None, None, None), (2, None, None, None, None), (3, "", "en", "b", 0), (4, long, "de", "b", 9), (5, long + " more", "de", None, 9), (6, "\n \t", "en", None, 3),
+        (None, "another text, of a null id, with password=abcdefgh1234 in it", "en", None, 1), (7, passage, "en", "a", 1),
+    ]
+    sf_dir = edge_tables(spark, sf, tmp_path, rows)
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        kept.append(sorted((r.doc_id or 0, r.text or "") for r in out.collect()))
+        docs = out
+    assert [len(x) for x in kept] == [12, 8, 7, 7]
+    assert sorted({r[0] for r in kept[-1]}) == [0, 1, 2, 3, 4, 6] and (0, "another text, of a null id, with [SECRET] in it") in kept[-1]
+    got = C.run(spark, sf_dir).collect()
+    assert {r.doc_id for r in got} == {None, 1, 2, 3, 4, 6}
+    assert sorted(r.doc_tokens for r in got if r.doc_id in (2, 3, 6))[:3] == [1, 1, 1]
+
+
+def test_empty_tables(spark, sf, tmp_path):
+    assert C.run(spark, edge_tables(spark, sf, tmp_path, [])).collect() == []
+    (tmp_path / "some").mkdir()
+    some = edge_tables(spark, sf, tmp_path / "some", [(1, "some words", "en", "a", 1)])
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{some}/{name}.parquet").limit(0).write.mode("append").parquet(f"{some}/none-{name}.parquet")
+    (r,) = C.run(spark, some).collect()
+    assert (r.doc_id, r.start) == (1, 0)

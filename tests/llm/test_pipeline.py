@@ -92,9 +92,10 @@ def test_nulls_long_texts_repeated_rows_and_clashing_columns(spark, sf, tmp_path
 
 def test_empty_tables(spark, sf, tmp_path):
     assert C.run(spark, edge_tables(spark, sf, tmp_path, [])).collect() == []
+    # only the documents hold rows
     (tmp_path / "some").mkdir()
-    some = edge_tables(spark, sf, tmp_path / "some", [(1, "some words", "en", "a", 1)])
+    (tmp_path / "none").mkdir()
     for name in ("labels", "benchmark"):
-        spark.read.parquet(f"{some}/{name}.parquet").limit(0).write.mode("append").parquet(f"{some}/none-{name}.parquet")
-    (r,) = C.run(spark, some).collect()
-    assert (r.doc_id, r.start) == (1, 0)
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    got = C.run(spark, edge_tables(spark, str(tmp_path / "none"), tmp_path / "some", [(1, "some words", "en", "a", 1)])).collect()
+    assert {r.doc_id for r in got} == {1} and sum(r.length for r in got) == got[0].doc_tokens

@@ -51,3 +51,7 @@ class CheckError(ConstraintError):
 
 class TransactionError(EngineError):
     code = "25000"
+
+
+class RaisedError(EngineError):
+    code = "P0001"

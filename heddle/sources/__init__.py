@@ -1,6 +1,6 @@
 """Tables read and written."""
 
-from .parquet import read_table, used_tables, with_tables, write_version
+from .parquet import read_table, used_tables, with_tables
 from .partitioning import partitioned
 
-__all__ = ["partitioned", "read_table", "used_tables", "with_tables", "write_version"]
+__all__ = ["partitioned", "read_table", "used_tables", "with_tables"]

@@ -30,10 +30,3 @@ def with_tables(spark: SparkSession, sf_dir: str, sql: str, args: dict | None =
     for name in used_tables(sql):
         read_table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(sql, args=args) if args else spark.sql(sql)
-
-
-def write_version(df: DataFrame, folder: str, version: int) -> DataFrame:
-    """A table's next version in a folder of its own, so that none is overwritten while it is read."""
-    path = f"{folder}/v{version}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -37,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def _own_dir(spark: SparkSession) -> str:
+def own_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one."""
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
 
 
@@ -53,7 +54,7 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     A lost executor costs none of it. The write's shuffle files go when it has ended.
     """
     spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _at_end(spark)
     writer = df.write.option("compression", "zstd")
     before = {key: spark.conf.get(key) for key in _WRITING}
@@ -76,7 +77,7 @@ def dropped(table: DataFrame, part: str = "") -> None:
 
 def cleared(spark: SparkSession) -> None:
     """Delete all tables that the application has written; call it when no result that reads them is needed any more."""
-    delete(spark, _own_dir(spark))
+    delete(spark, own_dir(spark))
 
 
 _ends: set[str] = set()

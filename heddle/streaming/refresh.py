@@ -11,18 +11,16 @@ from heddle.engine import Engine
 def follow(engine: Engine, stream: DataFrame, table: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Insert every batch into the engine's table, under its constraints, and refresh what became stale.
 
-    A batch that was inserted before a failure is told by its number, and isn't inserted twice.
+    A batch's number is committed with its rows, under the checkpoint's name, so a batch that a restart gives again isn't
+    inserted twice, by another engine on the same folder either.
     """
-    done: set[int] = set()
 
     def batch(df: DataFrame, number: int) -> None:
-        if number in done:
-            return
         # a stream runs in a session of its own
         df.createOrReplaceGlobalTempView("_batch")
-        engine.sql(f"INSERT INTO {table} ({', '.join(df.columns)}) SELECT * FROM global_temp._batch")
+        columns = ", ".join(f"`{c}`" for c in df.columns)
+        engine.once(checkpoint, number, lambda: engine.sql(f"INSERT INTO {table} ({columns}) SELECT * FROM global_temp._batch"))
         engine.refresh_stale()
-        done.add(number)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

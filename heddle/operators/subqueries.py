@@ -9,6 +9,7 @@ from heddle.engine import Engine
 from heddle.plans.recursion import recursive_union
 from heddle.sources import read_table
 
+from .changes import engine_over
 from .registry import frame_query, sql_query as q
 
 q("sub_scalar", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) + 4000 FROM customer)")
@@ -36,18 +37,6 @@ q(
 )
 
 
-@frame_query(
-    """WITH l AS (SELECT l_partkey AS p, count(*) AS n FROM lineitem GROUP BY l_partkey),
-            b AS (SELECT p_brand, p_partkey FROM part JOIN l ON p = p_partkey WHERE n > 25)
-       SELECT p_brand, count(*) AS n FROM b GROUP BY p_brand"""
-)
-def sub_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlation over two levels, as it is planned here: the innermost is grouped by its key and joined outwards."""
-    lines = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p")).agg(F.count("*").alias("n"))
-    part = read_table(spark, sf_dir, "part").select("p_brand", "p_partkey")
-    return part.join(lines.where("n > 25"), F.col("p") == F.col("p_partkey")).groupBy("p_brand").agg(F.count("*").alias("n"))
-
-
 @frame_query("WITH RECURSIVE r(k) AS (SELECT CAST(1 AS BIGINT) UNION SELECT (k * 7 + 3) % 50 FROM r) SELECT k FROM r")
 def cte_recursive_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cycle, which UNION ends."""
@@ -64,16 +53,9 @@ def recursive_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recursive_union(spark.range(1).select(F.lit(3).alias("k")), lambda d: d.join(edges, F.col("a") == F.col("k")).select(F.col("b").alias("k")))
 
 
-def _engine(spark: SparkSession, sf_dir: str, *names: str) -> Engine:
-    engine = Engine(spark)
-    for name in names:
-        engine.register(name, read_table(spark, sf_dir, name))
-    return engine
-
-
 @frame_query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000 GROUP BY n_name HAVING count(*) > 1")
 def view_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _engine(spark, sf_dir, "customer", "nation")
+    e = engine_over(spark, sf_dir, "customer", "nation")
     e.sql("CREATE VIEW rich (name, n) AS SELECT n_name, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000 GROUP BY n_name")
     return e.sql("SELECT name AS n_name, n FROM rich WHERE n > 1")
 
@@ -81,7 +63,7 @@ def view_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @frame_query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey >= 100 GROUP BY o_orderstatus")
 def matview_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A view that is made, goes stale by a change, and is refreshed."""
-    e = _engine(spark, sf_dir, "orders")
+    e = engine_over(spark, sf_dir, "orders")
     e.sql("CREATE MATERIALIZED VIEW by_status AS SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
     e.sql("DELETE FROM orders WHERE o_orderkey < 100; REFRESH MATERIALIZED VIEW by_status")
     return e.sql("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
@@ -89,49 +71,49 @@ def matview_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @frame_query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT * FROM (VALUES (100, 'NEW'), (101, 'none')) v")
 def dml_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _engine(spark, sf_dir, "nation")
+    e = engine_over(spark, sf_dir, "nation")
     e.sql("CREATE TABLE places (id INTEGER PRIMARY KEY, name VARCHAR(30) DEFAULT 'none'); INSERT INTO places SELECT n_nationkey, n_name FROM nation; INSERT INTO places VALUES (100, 'NEW'), (101, DEFAULT)")
     return e.sql("SELECT id AS n_nationkey, name AS n_name FROM places")
 
 
 @frame_query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def dml_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _engine(spark, sf_dir, "customer")
+    e = engine_over(spark, sf_dir, "customer")
     e.sql("UPDATE customer SET c_acctbal = 0, c_mktsegment = 'DEBT' WHERE c_acctbal < 0")
     return e.sql("SELECT c_custkey, c_acctbal, c_mktsegment FROM customer")
 
 
 @frame_query("SELECT o_orderkey FROM orders WHERE NOT (o_totalprice < 150000 AND o_orderstatus = 'F')")
 def dml_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _engine(spark, sf_dir, "orders")
+    e = engine_over(spark, sf_dir, "orders")
     e.sql("DELETE FROM orders WHERE o_totalprice < 150000 AND o_orderstatus = 'F'")
     return e.sql("SELECT o_orderkey FROM orders")
 
 
 @frame_query("SELECT count(*) AS n, max(n_nationkey) AS most FROM nation")
 def tx_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _engine(spark, sf_dir, "nation")
+    e = engine_over(spark, sf_dir, "nation")
     e.sql("BEGIN; INSERT INTO nation VALUES (99, 'X', 0); UPDATE nation SET n_name = 'Y'; DELETE FROM nation WHERE n_nationkey < 5; ROLLBACK")
     return e.sql("SELECT count(*) AS n, max(n_nationkey) AS most FROM nation")
 
 
 @frame_query("SELECT count(*) AS n, max(n_nationkey) AS most FROM (SELECT n_nationkey FROM nation WHERE n_nationkey >= 5 UNION ALL SELECT 99)")
 def tx_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _engine(spark, sf_dir, "nation")
+    e = engine_over(spark, sf_dir, "nation")
     e.sql("BEGIN; INSERT INTO nation VALUES (99, 'X', 0); DELETE FROM nation WHERE n_nationkey < 5; COMMIT")
     return e.sql("SELECT count(*) AS n, max(n_nationkey) AS most FROM nation")
 
 
 @frame_query("SELECT n_nationkey, n_nationkey * 2 + 1 AS y FROM nation")
 def sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _engine(spark, sf_dir, "nation")
+    e = engine_over(spark, sf_dir, "nation")
     e.sql("CREATE FUNCTION twice_and_one(x INT) RETURNS INT RETURN x * 2 + 1")
     return e.sql("SELECT n_nationkey, twice_and_one(n_nationkey) AS y FROM nation")
 
 
 @frame_query("SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 1000 GROUP BY c_nationkey")
 def sql_procedure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _engine(spark, sf_dir, "customer")
+    e = engine_over(spark, sf_dir, "customer")
     e.sql("CREATE PROCEDURE trim_poor(IN least DOUBLE PRECISION) LANGUAGE SQL AS BEGIN DELETE FROM customer WHERE c_acctbal <= least; SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey; END")
     return e.sql("CALL trim_poor(1000)")
 
@@ -145,7 +127,7 @@ def sql_script(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @frame_query("SELECT s_suppkey, s_name, s_nationkey, CAST(NULL AS INT) AS grade, 'new' AS state FROM supplier")
 def ddl_alter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _engine(spark, sf_dir, "supplier")
+    e = engine_over(spark, sf_dir, "supplier")
     e.sql("ALTER TABLE supplier DROP COLUMN s_acctbal; ALTER TABLE supplier ADD COLUMN rank INTEGER; ALTER TABLE supplier RENAME COLUMN rank TO grade; ALTER TABLE supplier ADD COLUMN state VARCHAR(5) DEFAULT 'new'; ALTER TABLE supplier RENAME TO sellers")
     return e.sql("SELECT * FROM sellers")
 

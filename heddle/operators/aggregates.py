@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .registry import sql_query as q
 
-_MONEY = "CAST(sum(CAST({0} AS DECIMAL(14,2))) AS DOUBLE)"
+#: An exact sum of whole hundredths.
+_MONEY = "CAST(sum(CAST(CAST(floor({0} * 100 + 0.5) AS BIGINT) AS DECIMAL(18,0))) AS DOUBLE) / 100"
 
 q("agg_global", f"SELECT count(*) AS n, {_MONEY.format('o_totalprice')} AS total, min(o_totalprice) AS least, max(o_totalprice) AS most, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) / count(o_totalprice) AS mean FROM orders")
 q("agg_avg", "SELECT o_orderstatus, avg(o_custkey) AS mean FROM orders GROUP BY o_orderstatus")

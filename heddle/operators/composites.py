@@ -80,7 +80,7 @@ q("bench_scan_lines", "SELECT * FROM lineitem")
 q("bench_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 49")
 q("bench_count", "SELECT count(*) AS n FROM lineitem")
 q("bench_group", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag")
-q("bench_sum_avg", "SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS DOUBLE) AS total, avg(l_linenumber) AS mean FROM lineitem")
+q("bench_sum_avg", "SELECT CAST(sum(CAST(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS DECIMAL(18,0))) AS DOUBLE) / 100 AS total, avg(l_linenumber) AS mean FROM lineitem")
 q("bench_join", "SELECT c_mktsegment, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment")
 q("bench_join3", "SELECT c_mktsegment, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_mktsegment")
 q("bench_in_subquery", "SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")

@@ -9,10 +9,11 @@ from heddle.sources import partitioned, read_table
 
 from .registry import frame_query, sql_query as q
 
+# money is summed exactly, as whole hundredths, since Spark makes decimals of doubles by way of strings
 q(
     "flagship",
     """SELECT c_mktsegment, count(*) AS n_lines,
-              CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue
+              CAST(sum(CAST(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) * (100 - CAST(floor(l_discount * 100 + 0.5) AS BIGINT)) AS DECIMAL(18,0))) AS DOUBLE) / 10000 AS revenue
        FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
        WHERE l_shipdate >= TS'1995-01-01 00:00:00'
        GROUP BY c_mktsegment HAVING count(*) > 10 ORDER BY revenue DESC LIMIT 5""",

@@ -46,6 +46,8 @@ WINDOW = 13
 SHARE = 20
 #: Words of a shard; with as many marks between texts they are under 2^21, as packed ranks need.
 SHARD_WORDS = 1_000_000
+#: Bytes of the texts that are searched at once, beyond the first.
+SLICE_BYTES = 4 << 20
 #: Bytes of test items that are broadcast at once; more are done in more passes.
 BLOCK_BYTES = 16 << 20
 
@@ -249,7 +251,7 @@ def _pass(block, column: str, seen: bool):
             names = batch.schema.names
             before = batch.column(len(names) - 1).to_pylist() if seen else [None] * batch.num_rows
             out = []
-            for a, b, texts in X.slices(batch.column(names.index(column)), most_bytes=7 << 20):
+            for a, b, texts in X.slices(batch.column(names.index(column)), SLICE_BYTES):
                 w = X.words(texts, X.LOWER_WORDS, lower=True)
                 hit, found, best = search(w, items)
                 for i in range(b - a):

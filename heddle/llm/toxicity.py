@@ -52,7 +52,9 @@ OFFENDS = 0.5
 LEAST_DOCS, LEAST_RATIO = 3, 8.0
 MOST_FEATURES = 4000
 #: Features that a task gathers before it sums them.
-SUMMED = 1 << 21
+SUMMED = 1 << 20
+#: Bytes of the texts that are looked at at once, beyond the first.
+SLICE_BYTES = 2 << 20
 
 _ENDS = np.zeros(256, np.uint8)
 _ENDS[[ord(c) for c in ".!?\n"]] = 1
@@ -141,7 +143,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         y = batch.column(0).to_numpy().astype(np.int64)
-        for a, _, texts in X.slices(batch.column(1)):
+        for a, _, texts in X.slices(batch.column(1), SLICE_BYTES):
             w = X.words(texts, X.LOWER_WORDS, lower=True)
             owner = w.owners()
             for kind in KINDS:
@@ -187,7 +189,7 @@ def _bagger(sent):
         vocabulary = sent.value
         for batch in batches:
             n, times, sizes, words = [np.zeros(0, np.int64)], [], [], []
-            for a, b, texts in X.slices(batch.column(1)):
+            for a, b, texts in X.slices(batch.column(1), SLICE_BYTES):
                 w = X.words(texts, X.LOWER_WORDS, lower=True)
                 sentence, first = sentences(w)
                 n.append(np.diff(first))
@@ -276,6 +278,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     bags = sample.mapInArrow(_bagger(sent), BAGS).collect()
     dropped(sample)
+    sent.destroy()
     return fit(sorted(bags), vocabulary)
 
 
@@ -284,7 +287,7 @@ def _scorer(sent, column: str, least: float):
         model = sent.value
         for batch in batches:
             scores, offending = [], []
-            for a, b, texts in X.slices(batch.column(batch.schema.names.index(column))):
+            for a, b, texts in X.slices(batch.column(batch.schema.names.index(column)), SLICE_BYTES):
                 w = X.words(texts, X.LOWER_WORDS, lower=True)
                 score, each, sentence, first = doc_scores(model, w)
                 scores.append(score)

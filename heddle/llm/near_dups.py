@@ -324,6 +324,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     # repeated documents give the same set again
     sets = written(sets.select("class", "copies", "bands", "set").dropDuplicates(["class"]), "sets")
     dropped(wanted)
+    sent.destroy()
 
     pairs = cells.join(sets.hint("merge"), "class").select("bucket", "lo", "hi", "band", "block", "class", "copies", "bands", "set")
     pairs = pairs.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")

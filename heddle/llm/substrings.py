@@ -477,6 +477,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     block = F.pmod(F.xxhash64("doc", "text"), F.lit(total // limits.block_bytes + 1))
     found = written(known.select("doc", block.alias("block"), "text").mapInArrow(_finder(sent, limits.merged_bytes), _FOUND), "segments", by="kind")
+    sent.destroy()
     wordings = found.where(F.col("kind") == _WORDING).select("key", "seg", "lo", "hi", "text").repartition("key").sortWithinPartitions("key", "seg")
     phrases = written(wordings.mapInArrow(_confirmer(limits.shard_bytes), "key long, seg long, phrases array<struct<least:bigint,text:binary>>"), "phrases")
     dropped(found, f"kind={_WORDING}")

@@ -1,3 +1,4 @@
+import re
 import shutil
 import subprocess
 import sys
@@ -25,10 +26,21 @@ def test_core_stands_without_the_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
 
 
+def test_only_the_absence_of_all_corpus_operators_is_passed_over(tmp_path):
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    shutil.copytree(ROOT / "heddle", tmp_path / "heddle", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    own = tmp_path / "heddle/llm"
+    own.mkdir()
+    (own / "__init__.py").touch()
+    (own / "queries.py").write_text("import no_such_module")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True)
+    assert done.returncode and "no_such_module" in done.stderr
+
+
 def test_nothing_else_imports_the_corpus_operators():
     for path in (ROOT / "heddle").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT).parts:
-            assert "llm" not in path.read_text()
+            assert not re.search(r"\bllm\b", path.read_text())
 
 
 def test_shell(spark, capsys):
